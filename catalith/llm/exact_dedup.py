@@ -5,7 +5,8 @@ hash places a group, the bytes decide membership, so an MD5 collision ends in
 two groups. The map-side combine leaves one row of each text and task, which
 keeps a group holding a third of all rows from reaching one reducer row by
 row. The way back to the single rows joins narrow columns, two digests and an
-id; AQE splits the partition of a hot group there.
+id. The groups are cut in the shared folder first: the join then deals both of
+its sides itself, and AQE can split the partition of a hot group.
 
 Defined results: a null text counts as empty; all empty and all-blank texts
 fall into their groups (blank texts normalise to one space); a null doc_id
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catalith.llm.common import SPACES, load
+from catalith.llm.common import SPACES, cut, load
 
 SQL = r"""
 WITH d AS (
@@ -54,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row for each input row: id, keep_id, group_size, kept, text_sha256."""
     text = docs.select(F.col(id_col).alias(id_col), normalised(text_col).alias("t"))
     rows = text.select(id_col, F.unhex(F.md5("t")).alias("digest128"), F.sha2("t", 256).alias("text_sha256"))
-    joined = rows.join(groups(docs, id_col, text_col), ["digest128", "text_sha256"])
+    joined = rows.join(cut(groups(docs, id_col, text_col)), ["digest128", "text_sha256"])
     return joined.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from catalith.llm import exact_dedup, url_filter
+from catalith.llm import exact_dedup, jaccard_join, language, toxicity, url_filter
 
 QUERIES = {
+    "op3_language": language.query,
+    "op4_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_url_filter": url_filter.query,
+    "op9_jaccard_join": jaccard_join.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
 }
