@@ -9,11 +9,12 @@ Documents link when num-in-common * 100 >= percent * size-of-union. The join
    about a fixed lower part of the hash range, which every set sends; small ones
    ask about all, which every set of a size within reach sends. So no link is
    lost. Shingles travel sorted and packed by hash range;
-2. fetches the whole sets of the documents that are left and keeps one of each
-   group of equal sets;
+2. keeps one document of each group of equal sets and fetches the whole sets of
+   those that are left;
 3. partitions them into groups of similar documents (the smallest shingle under
    a second hash), cut into blocks of bounded size, and stores the matrix of
-   shingles against blocks. A document asks a block only if one of the rarest
+   shingles against blocks. Corpus counts of the shingles (see counting) order
+   them from rare to frequent; a document asks a block only if one of the rarest
    shingles that it needs (prefix filter) is in the block's column;
 4. sends each document to the blocks it has to ask. There the number of its
    shingles in the block's union bounds its overlap with every member; only
@@ -34,22 +35,21 @@ compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window as W
 
-from catalith.llm import text as T
+from catalith.llm import counting, text as T
 from catalith.llm.common import cut, id_range, load
 
 #: Sets up to SMALL ask about every shingle, longer ones about those in the lowest SENT of the
 #: hash range. Sets that may be partners of small ones send every shingle too.
-SMALL, SENT = 64, 0.25
-#: Bytes of text for each range of shingle hashes; members of a block; documents that ask a block in one task.
-RANGE_BYTES, BLOCK, ASKING = 8 << 20, 256, 1024
+SMALL, SENT = 64, 0.3
+#: Bytes of text for each range of shingle hashes; shingles of a chunk; members of a block; documents that ask a block in one task.
+RANGE_BYTES, CHUNK, BLOCK, ASKING = 8 << 20, 1 << 20, 256, 1024
 EVERY = 0xFFFF
 
 
@@ -58,15 +58,27 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
+def set_digest(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits of each set, zero for an empty one."""
+    out = np.zeros((len(bounds) - 1, 2), T.U)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        for j, salt in enumerate((0x1234567, 0x89ABCDEF01)):
+            out[full, j] = np.add.reduceat(T.mix(found ^ T.U(salt)), bounds[full])
+    return out
+
+
 def _sent(k: int, percent: int, ranges: int):
-    """Batches to rows (origin, range, a, b). range -1: doc ids, and set size, shingles
-    asked about, those already known to be shared; else: packed shingles, and the row of
-    the batch that asks about each (EVERY: settled here already, or nobody asks)."""
+    """Batches to rows (origin, range, a, b). range below 0: ids and set digests, and set
+    size, shingles asked about, those already known to be shared; else: packed shingles,
+    and the row of the batch that asks about each (EVERY: settled here already, or nobody
+    asks). An origin is a place in the input, the same whenever a task is run again."""
     schema = pa.schema([("origin", pa.int64()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
-    def one(ids: np.ndarray, valid: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
+    def one(origin: int, ids: np.ndarray, valid: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
         found, bounds = T.shingle_sets(raw, offsets, k)
         n = np.diff(bounds)
+        digest = set_digest(found, bounds)
         row = np.repeat(np.arange(len(n)), n)
         low = found < T.U(int(SENT * 2.0**64))
         keep = ((n[row] <= SMALL * 100 // percent + 1) | low) & valid[row]
@@ -80,14 +92,14 @@ def _sent(k: int, percent: int, ranges: int):
         times = np.diff(np.append(at, len(found)))
         shared = np.bincount(row[np.repeat(times > 1, times) & own], minlength=len(n))
         keys, who = found[at], np.where((times > 1) | ~own[at], EVERY, row[at]).astype("<u2")
-        origin = int.from_bytes(os.urandom(8), "little") >> 1  # fixed once the rows are cut
-        yield origin, -1, ids.astype("<i8").tobytes() + valid.astype(np.uint8).tobytes(), np.stack((n, sent, shared)).astype("<i4").tobytes()
+        yield origin, -1 - origin % ranges, ids.astype("<i8").tobytes() + valid.astype(np.uint8).tobytes() + digest.tobytes(), np.stack((n, sent, shared)).astype("<i4").tobytes()
         cuts = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
         for r in range(ranges):
             if cuts[r] < cuts[r + 1]:
                 yield origin, r, T.pack_sorted(keys[cuts[r] : cuts[r + 1]]), who[cuts[r] : cuts[r + 1]].tobytes()
 
     def each(batches):
+        origin = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             ids = batch.column(0)
             valid = np.asarray(ids.is_valid())
@@ -96,7 +108,8 @@ def _sent(k: int, percent: int, ranges: int):
             for lo, hi in T.slices(offsets, 4 * T.SLICE):
                 for at in range(lo, hi, 30_000):
                     to = min(hi, at + 30_000)
-                    rows = list(one(ids[at:to], valid[at:to], raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+                    origin += 1
+                    rows = list(one(origin, ids[at:to], valid[at:to], raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
                     for some in range(0, len(rows), 256):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[some : some + 256], strict=True), schema, strict=True)], schema=schema)
 
@@ -113,108 +126,134 @@ def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """One range of hashes: for each origin, how many of each row's shingles others have too."""
+    """One range of hashes: for each origin, how many of each row's shingles others have
+    too. Rows of ranges below 0 pass."""
     origins = np.asarray(table.column("origin"))
-    keys = [T.unpack_sorted(x.as_buffer().to_pybytes()) for x in table.column("a")]
-    who = T.arrays(table.column("b"), "<u2")
-    source = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-    keys, who = np.concatenate(keys), np.concatenate(who)
-    order = np.argsort(keys, kind="stable")
-    same = np.zeros(len(keys) + 1, bool)
-    same[1:-1] = keys[order][1:] == keys[order][:-1]
-    hit = order[same[1:] | same[:-1]]
-    hit = hit[who[hit] != EVERY]
     out = []
-    by = np.argsort(source[hit], kind="stable")
-    source, who = source[hit][by], who[hit][by]
-    for s in np.unique(source):
-        lo, hi = np.searchsorted(source, (s, s + 1))
-        out.append((int(origins[s]), zlib.compress(np.bincount(who[lo:hi]).astype("<u2").tobytes(), 1)))
-    return pa.table({"origin": pa.array([x[0] for x in out], pa.int64()), "counts": pa.array([x[1] for x in out], pa.binary())})
+    if table.column("range")[0].as_py() < 0:
+        out = list(zip(origins.tolist(), [True] * len(origins), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True))
+    else:
+        keys = [T.unpack_sorted(x) for x in table.column("a").to_pylist()]
+        who = np.concatenate(T.arrays(table.column("b"), "<u2"))
+        source = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        same = np.zeros(len(keys) + 1, bool)
+        same[1:-1] = keys[order][1:] == keys[order][:-1]
+        hit = order[same[1:] | same[:-1]]
+        hit = hit[who[hit] != EVERY]
+        hit = hit[np.argsort(source[hit], kind="stable")]
+        source, who = source[hit], who[hit]
+        for s in np.unique(source):
+            lo, hi = np.searchsorted(source, (s, s + 1))
+            out.append((int(origins[s]), False, b"", zlib.compress(np.bincount(who[lo:hi]).astype("<u2").tobytes(), 1)))
+    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["origin", "head", "a", "b"])
 
 
 def _left(percent: int):
     def each(table: pa.Table) -> pa.Table:
         """One origin: its rows, and which of them may still have a partner."""
-        ids, valid, size, sent, shared = None, None, None, None, None
         more = []
-        for r, a, b in zip(table.column("range").to_pylist(), table.column("a"), table.column("b"), strict=True):
-            if r == -1:
-                head = a.as_buffer().to_pybytes()
-                n = len(head) // 9
-                ids, valid = np.frombuffer(head, "<i8", n), np.frombuffer(head, np.uint8, offset=8 * n)
-                size, sent, shared = (x.astype(np.int64) for x in np.frombuffer(b.as_buffer(), "<i4").reshape(3, -1))
+        for head, a, b in zip(table.column("head").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+            if head:
+                n = len(a) // 25
+                ids, valid, digest = np.frombuffer(a, "<i8", n), np.frombuffer(a, np.uint8, n, 8 * n), np.frombuffer(a, "<u8", 2 * n, 9 * n)
+                size, sent, shared = (x.astype(np.int64) for x in np.frombuffer(b, "<i4").reshape(3, -1))
             else:
-                more.append(np.frombuffer(zlib.decompress(b.as_buffer().to_pybytes()), "<u2"))
+                more.append(np.frombuffer(zlib.decompress(b), "<u2"))
         for x in more:
             shared[: len(x)] += x
         left = (sent - shared <= size - needed(size, percent)) & (size > 0) & (valid > 0)
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=valid == 0), "n_shingles": pa.array(size, pa.int64()), "left": pa.array(left)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=valid == 0), "n_shingles": pa.array(size, pa.int64()), "same": T.blobs(digest, np.arange(n + 1) * 2), "left": pa.array(left)})
 
     return each
 
 
 def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("home", pa.int64()), ("tokens", pa.binary())])
+    """(doc_id, text, same) to (node, doc_id, n, home, tokens): the sets whose digest is
+    wanted of the id, with their group."""
+    names = ["node", "doc_id", "n", "home", "tokens"]
 
     def each(batches):
-        """doc_id, size, 128-bit digest of the set, group, and the set itself."""
         for batch in batches:
-            ids = batch.column(0)
+            ids, wanted = batch.column(0), np.array(batch.column(2).to_pylist(), object)
             raw, offsets = T.flat(batch.column(1))
             for lo, hi in T.slices(offsets):
                 found, bounds = T.shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                full = np.flatnonzero(np.diff(bounds) > 0)
+                digest = set_digest(found, bounds)
+                full = np.flatnonzero((np.diff(bounds) > 0) & (np.array([x.tobytes() for x in digest], object) == wanted[lo:hi]))
                 if not len(full):
                     continue
-                starts = bounds[full]
-                digest = np.stack([np.add.reduceat(T.mix(found ^ T.U(s)), starts) for s in (0x1234567, 0x89ABCDEF01)], 1)
-                home = np.minimum.reduceat(T.mix(found + T.U(0x51ED2701)), starts)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(full)).cast(pa.int64()), pa.array(np.diff(bounds)[full], pa.int64()), T.blobs(digest.ravel(), np.arange(len(full) + 1) * 2), pa.array(home.view(np.int64)), T.blobs(found, np.append(starts, bounds[-1]))], schema=schema)
+                parts = [found[bounds[i] : bounds[i + 1]] for i in full]
+                sizes = np.array([len(x) for x in parts])
+                found, starts = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
+                home = np.minimum.reduceat(T.mix(found + T.U(0x51ED2701)), starts[:-1])
+                mine = ids.slice(lo, hi - lo).take(pa.array(full)).cast(pa.int64())
+                node = T.mix(np.asarray(mine).view(T.U) + T.mix(digest[full, 0] ^ T.mix(digest[full, 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), mine, pa.array(sizes, pa.int64()), pa.array(home.view(np.int64)), T.blobs(found, starts)], names=names)
 
     return each
 
 
-def _explode(batches):
-    """(node, n, block, tokens) to one row for each token."""
-    for batch in batches:
-        sets = T.arrays(batch.column("tokens"), "<u8")
-        sizes = [len(x) for x in sets]
-        for lo in range(0, len(sets), 500):
-            part = sets[lo : lo + 500]
-            at = pa.array(np.repeat(np.arange(lo, lo + len(part)), sizes[lo : lo + 500]))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("n").take(at), batch.column("block").take(at), pa.array(np.concatenate(part).view(np.int64))], names=["node", "n", "block", "token"])
+def _ask(ranges: int):
+    def each(key: tuple, table: pa.Table) -> pa.Table:
+        keys, counts = np.unique(np.concatenate(T.arrays(table.column("tokens").combine_chunks(), "<u8")), return_counts=True)
+        return counting.asks(key[0].as_py(), {1: (keys, counts)}, ranges)
+
+    return each
+
+
+def _prefix(percent: int):
+    def each(key, table: pa.Table, given: pa.Table) -> pa.Table:
+        """The rarest shared shingles of each set that a partner has to have one of."""
+        nodes, out = [], []
+        if table.num_rows:
+            sets = T.arrays(table.column("tokens").combine_chunks(), "<u8")
+            counts, keys = counting.read(given, 1), np.unique(np.concatenate(sets))
+            for node, mine in zip(table.column("node").to_pylist(), sets, strict=True):
+                c = counts[np.searchsorted(keys, mine)]
+                shared = np.flatnonzero(c > 1)
+                many = len(shared) - needed(len(mine), percent) + 1
+                if many > 0:
+                    out.append(mine[shared[np.lexsort((mine[shared], c[shared]))[:many]]])
+                    nodes += [node] * many
+        return pa.table({"node": pa.array(nodes, pa.int64()), "token": pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())})
+
+    return each
 
 
 def _open(percent: int):
-    def each(key, members: pa.Table, asking: pa.Table) -> pa.Table:
-        """Bound each asking document's overlap by the block's union; compare with the
-        members where the bound allows a link; return links between classes."""
+    def each(table: pa.Table) -> pa.Table:
+        """One block, or a share of those who ask it: bound each asking document's overlap
+        by the block's union; compare with the members where the bound allows a link;
+        return links between classes."""
         out: list[tuple[int, int]] = []
-        if members.num_rows and asking.num_rows:
-            ids, sets = np.asarray(members.column("doc_id")), T.arrays(members.column("tokens"), "<u8")
-            sizes = np.array([len(x) for x in sets], np.int64)
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        asks = np.asarray(table.column("asks").combine_chunks())
+        ids, sets = np.asarray(table.column("doc_id")), T.arrays(table.column("tokens").combine_chunks(), "<u8")
+        within, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if len(within) and len(asking):
+            sizes = np.array([len(sets[i]) for i in within], np.int64)
+            tokens, owner = np.concatenate([sets[i] for i in within]), np.repeat(np.arange(len(within)), sizes)
             order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            root = {int(i): int(i) for i in ids}
+            tokens, owner, members = tokens[order], owner[order], ids[within]
+            root: dict[int, int] = {}
 
             def find(x: int) -> int:
                 while root.setdefault(x, x) != x:
                     root[x] = x = root[root[x]]
                 return x
 
-            for doc, mine in zip(asking.column("asking").to_pylist(), T.arrays(asking.column("mine"), "<u8"), strict=True):
+            for i in asking:
+                mine, doc = sets[i], int(ids[i])
                 lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
                 hit = hi > lo
                 if hit.sum() < needed(len(mine), percent):
                     continue  # the block's union has too few of its shingles: not opened
                 lo, times = lo[hit], (hi - lo)[hit]
                 at = np.arange(times.sum()) + np.repeat(lo - np.cumsum(times) + times, times)
-                common = np.bincount(owner[at], minlength=len(sets))
-                linked = np.flatnonzero((100 * common >= percent * (sizes + len(mine) - common)) & (ids != doc))
-                for other in ids[linked].tolist():
+                common = np.bincount(owner[at], minlength=len(sizes))
+                linked = np.flatnonzero((100 * common >= percent * (sizes + len(mine) - common)) & (members != doc))
+                for other in members[linked].tolist():
                     a, b = find(doc), find(other)
                     if a != b:
                         root[max(a, b)] = min(a, b)
@@ -247,37 +286,33 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles; links: a, b). Links join the classes of near-duplicates,
     equal sets included; they are enough to find the classes, not all pairs."""
     ranges = id_range(docs, "text", RANGE_BYTES)
-    sent = cut(docs.select("doc_id", "text").mapInArrow(_sent(k, percent, ranges), "origin long, range int, a binary, b binary"))
-    counts = sent.where("range >= 0").groupBy("range").applyInArrow(_shared, "origin long, counts binary")
-    head = sent.where("range < 0").unionByName(counts.select("origin", F.lit(0).alias("range"), F.lit(None).cast("binary").alias("a"), F.col("counts").alias("b")))
-    rows = cut(head.groupBy("origin").applyInArrow(_left(percent), "doc_id long, n_shingles long, left boolean"))
-
-    left = rows.where("left").select("doc_id").distinct()
-    sets = cut(docs.select("doc_id", "text").join(left.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(k), "doc_id long, n long, same binary, home long, tokens binary"))
-    first = sets.groupBy("same", "n").agg(F.min("doc_id").alias("keep"))
-    equal = sets.select("same", "n", "doc_id").join(first, ["same", "n"]).where("doc_id <> keep").select(F.col("doc_id").alias("a"), F.col("keep").alias("b"))
-    one = sets.dropDuplicates(["doc_id", "same"]).join(first.withColumnRenamed("keep", "doc_id"), ["same", "n", "doc_id"])
-
-    crowd = one.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
-    node = F.xxhash64("doc_id", "same")
-    block = F.xxhash64("home", F.pmod(node, F.ceil(F.col("crowd") / BLOCK)))
-    blocks = cut(one.join(crowd, "home").select(node.alias("node"), "doc_id", "n", block.alias("block"), "tokens"))
-    matrix = blocks.select("node", "n", "block", "tokens").mapInArrow(_explode, "node long, n long, block long, token long")
-    often = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    by_node = W.partitionBy("node")
-    least = F.ceil(F.col("n") * percent / 100)
-    ranked = matrix.join(often, "token").withColumns({"s": F.count(F.lit(1)).over(by_node), "rank": F.row_number().over(by_node.orderBy("c", "token"))})
-    prefix = cut(ranked.where(F.col("rank") <= F.col("s") - least + 1).select("node", "block", "token"))
-    columns = prefix.select("token", F.col("block").alias("at")).distinct()
-    asks = prefix.select("node", "token").join(columns, "token").select("node", "at").distinct()
+    sent = docs.select("doc_id", "text").mapInArrow(_sent(k, percent, ranges), "origin long, range int, a binary, b binary")
+    counts = sent.groupBy("range").applyInArrow(_shared, "origin long, head boolean, a binary, b binary")
+    rows = cut(counts.groupBy("origin").applyInArrow(_left(percent), "doc_id long, n_shingles long, same binary, left boolean"))
+
+    left = rows.where("left").select("same", "n_shingles", "doc_id")
+    first = cut(left.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("keep")))
+    equal = left.join(first, ["same", "n_shingles"]).where("doc_id <> keep").select(F.col("doc_id").alias("a"), F.col("keep").alias("b"))
+    wanted = first.select(F.col("keep").alias("doc_id"), "same")
+    sets = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "same")
+    sets = cut(sets.mapInArrow(_sets(k), "node long, doc_id long, n long, home long, tokens binary"))
+
+    chunks = -(-(sets.agg(F.sum("n")).first()[0] or 1) // CHUNK)
+    dealt = sets.select(F.pmod("node", F.lit(chunks)).alias("chunk"), "node", "tokens")
+    given = counting.answers(dealt.groupBy("chunk").applyInArrow(_ask(chunks), counting.ASK)).where("chunk >= 0").select(F.col("chunk").alias("of"), "kind", "range", "counts")
+    prefix = cut(dealt.groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(_prefix(percent), "node long, token long"))
+
+    crowd = sets.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / BLOCK)))
+    blocks = cut(sets.select("node", "home").join(crowd, "home").select("node", block.alias("block")).distinct())
+    columns = prefix.join(blocks, "node").select("token", F.col("block").alias("at")).distinct()
+    asks = prefix.join(columns, "token").select("node", "at").distinct()
     busy = asks.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("shares"))
-    asks = cut(asks.join(busy, "at").select("node", "at", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share")))
-
-    asking = blocks.select("node", "doc_id", "tokens").join(asks, "node").select("at", "share", "doc_id", "tokens").toDF("at", "share", "asking", "mine")
-    opened = asks.select(F.col("at").alias("block"), "share").distinct()
-    members = blocks.select("doc_id", "block", "tokens").join(opened, "block").select(F.col("block").alias("at"), "share", "doc_id", "tokens").toDF("block_at", "block_share", "doc_id", "tokens")
-    found = members.groupBy("block_at", "block_share").cogroup(asking.groupBy("at", "share")).applyInArrow(_open(percent), "a long, b long")
-    return rows, cut(found.unionByName(equal))
+    asks = cut(asks.join(busy, "at").select("node", "at", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(True).alias("asks")))
+    opened = blocks.join(asks.select(F.col("at").alias("block"), "share").distinct(), "block").select("node", F.col("block").alias("at"), "share", F.lit(False).alias("asks"))
+    sent = sets.select("node", "doc_id", "tokens").join(asks.unionByName(opened), "node").select("at", "share", "asks", "doc_id", "tokens")
+    found = sent.groupBy("at", "share").applyInArrow(_open(percent), "a long, b long")
+    return rows.select("doc_id", "n_shingles"), cut(found.unionByName(equal))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

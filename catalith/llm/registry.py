@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from catalith.llm import exact_dedup, jaccard_join, language, toxicity, url_filter
+from catalith.llm import decontaminate, exact_dedup, jaccard_join, language, licenses, lm_score, packing, pii, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii": pii.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_language": language.query,
     "op4_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_packing": packing.query,
     "op7_url_filter": url_filter.query,
+    "op8_licenses": licenses.query,
     "op9_jaccard_join": jaccard_join.query,
+    "op10_lm_score": lm_score.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,

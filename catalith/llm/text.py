@@ -73,27 +73,44 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
+def _stretches(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of raw of about SLICE bytes that cut no word."""
+    at = 0
+    while at < len(raw):
+        to = min(at + SLICE, len(raw))
+        if to < len(raw):
+            back = np.flatnonzero(gaps[raw[at:to]])
+            if len(back):
+                to = at + int(back[-1]) + 1
+            else:  # one word fills it: on to the next gap or row
+                ahead = np.flatnonzero(gaps[raw[to:]])
+                row = offsets[min(int(np.searchsorted(offsets, to)), len(offsets) - 1)]
+                to = min(int(row), to + int(ahead[0]) + 1 if len(ahead) else len(raw))
+        yield at, to
+        at = to
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of every word; start and end are bytes in raw."""
-    if not len(raw):
+    parts = []
+    for at, to in _stretches(raw, offsets, gaps):
+        part = raw[at:to]
+        inside = ~gaps[part]
+        cut = np.zeros(to - at + 1, bool)
+        cut[[0, to - at]] = True
+        cut[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at] = True
+        before, after = np.zeros(to - at, bool), np.zeros(to - at, bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        starts = np.flatnonzero(inside & (~before | cut[:-1]))
+        ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
+        up, down = powers(to - at)
+        total = np.zeros(to - at + 1, U)
+        np.cumsum(VALUES[LOWER[part]] * up[: to - at], out=total[1:])
+        parts.append((mix((total[ends] - total[starts]) * down[starts]), starts + at, ends + at))
+    if not parts:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U), none, none, none
-    inside = ~gaps[raw]
-    cut = np.zeros(len(raw) + 1, bool)
-    cut[offsets] = True
-    before = np.empty(len(raw), bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | cut[:-1]))
-    after = np.empty(len(raw), bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    up, down = powers(len(raw))
-    total = np.empty(len(raw) + 1, U)
-    total[0] = 0
-    np.cumsum(VALUES[LOWER[raw]] * up[: len(raw)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
     return hashes, np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
