@@ -1,15 +1,17 @@
 """Corpus-wide counts of hashed keys, asked for by chunks of documents.
 
-A chunk asks once for each distinct key it holds, and brings how often its own
-documents have it. Keys are sorted, packed and dealt by hash range; a range adds
-up what all chunks bring and answers each in the order of its keys, so answers
-need no keys. A key that a third of all documents hold still comes once from
-each chunk, never row by row.
+A chunk asks for each distinct key it holds, and brings how often its own
+documents have it. Its documents may ask from several tasks. Keys are sorted,
+packed and dealt by hash range; a range adds up what all bring and answers each
+chunk in the order of its distinct keys, so answers need no keys. A key that a
+third of all documents hold still comes once from each task and chunk, never row
+by row.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
 
 
-def asks(chunk: int, by_kind: dict[int, tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.Table:
+def asks(chunk: int, by_kind: dict[int, tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
     """by_kind: sorted distinct 64-bit keys (any kind but 1 may leave low bits 0) and own counts."""
     rows = []
     for kind, (keys, counts) in by_kind.items():
@@ -45,7 +47,7 @@ def asks(chunk: int, by_kind: dict[int, tuple[np.ndarray, np.ndarray]], ranges:
                 low = T.U(0 if kind == 1 else 16)
                 rows.append((kind, r, chunk, T.pack_sorted(keys[lo:hi] >> low), pack(counts[lo:hi])))
     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["kind", "range", "chunk", "keys", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["kind", "range", "chunk", "keys", "counts"])
 
 
 def _edges(ranges: int) -> np.ndarray:
@@ -59,12 +61,15 @@ def _answer(table: pa.Table) -> pa.Table:
     keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
     rows = []
     for kind in np.unique(kinds).tolist():
-        at = np.flatnonzero(kinds == kind)
+        at = sorted(np.flatnonzero(kinds == kind).tolist(), key=lambda i: chunk[i])
         mine = [T.unpack_sorted(keys[i]) for i in at]
         one, back = np.unique(np.concatenate(mine), return_inverse=True)
         total = np.bincount(back, np.concatenate([unpack(counts[i]) for i in at]), len(one)).astype(np.int64)
         bounds = np.cumsum([0, *map(len, mine)])
-        rows += [(kind, where, chunk[i], pack(total[back[lo:hi]]), 0, 0) for i, lo, hi in zip(at, bounds, bounds[1:], strict=False)]
+        for c, rows_of in groupby(range(len(at)), key=lambda j: chunk[at[j]]):
+            rows_of = list(rows_of)
+            asked = back[bounds[rows_of[0]] : bounds[rows_of[-1] + 1]]
+            rows.append((kind, where, c, pack(total[np.unique(asked) if len(rows_of) > 1 else asked]), 0, 0))
         rows.append((kind, where, -1, b"", int(total.sum()), int((total > 0).sum())))
     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
     return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["kind", "range", "chunk", "counts", "total", "distinct"])

@@ -198,7 +198,7 @@ def _sets(k: int):
 def _ask(ranges: int):
     def each(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = np.unique(np.concatenate(T.arrays(table.column("tokens").combine_chunks(), "<u8")), return_counts=True)
-        return counting.asks(key[0].as_py(), {1: (keys, counts)}, ranges)
+        return pa.Table.from_batches([counting.asks(key[0].as_py(), {1: (keys, counts)}, ranges)])
 
     return each
 
@@ -323,6 +323,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, whose id is the smallest of its class; rows with a null
+    id stay. Only ids that go are joined to the texts."""
+    go = jaccard_classes(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(go.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
 #: The SQL compares all pairs that share a shingle; it is meant for small tables.
 SQL = r"""
 WITH RECURSIVE w AS (

@@ -79,9 +79,28 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, OCTAVES - 1), 0)
 
 
-def _ask(ranges: int):
-    def each(key: tuple, table: pa.Table) -> pa.Table:
-        return counting.asks(key[0].as_py(), Chunk(table).own(), ranges)
+def _ask(ranges: int, held: int = 64 << 20):
+    """(chunk, doc_id, teach, text) rows to what their chunks ask; a task gathers about `held`
+    bytes of text at a time, so that frequent words are asked for once for each chunk."""
+
+    def each(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= held:
+                yield from asked(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from asked(waiting)
+
+    def asked(waiting):
+        table = pa.Table.from_batches(waiting)
+        chunk = np.asarray(table.column("chunk").combine_chunks())
+        order = np.argsort(chunk, kind="stable")
+        bounds = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            yield counting.asks(int(chunk[order[lo]]), Chunk(table.take(pa.array(order[lo:hi]))).own(), ranges)
 
     return each
 
@@ -154,7 +173,7 @@ def lm_score(docs: DataFrame, learns: Column | None = None, chunk_bytes: int = C
     learns = (fold() != 1) if learns is None else learns
     chunks = max(DELETED, id_range(docs, "text", chunk_bytes))
     dealt = docs.select(counting.chunk_of("doc_id", chunks).alias("chunk"), "doc_id", learns.alias("teach"), "text")
-    given = cut(counting.answers(dealt.groupBy("chunk").applyInArrow(_ask(chunks), counting.ASK)))
+    given = cut(counting.answers(dealt.mapInArrow(_ask(chunks), counting.ASK)))
     sums = given.where("chunk < 0 AND kind = 1").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)
     given = given.where("chunk >= 0").select("chunk", "kind", "range", "counts").toDF("of", "kind", "range", "counts")
