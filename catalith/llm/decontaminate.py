@@ -79,60 +79,87 @@ def index(items: pa.Table) -> dict:
     return {"hash": found[order], "item": row[at][order], "place": place[order], "size": size, "ids": items.column("item_id").to_pylist()}
 
 
-def _scan(block: dict, threshold: float):
-    size, ids = block["size"], block["ids"]
+def _leaks_of(block: dict, threshold: float, column: pa.Array):
+    """(row, item, covered words, tiles) of every item of the block that a row leaks."""
+    size = block["size"]
     width = int(size.max()) + 1 if len(size) else 1
+    raw, offsets = T.flat(column)
+    for lo, hi in T.slices(offsets) if len(block["hash"]) else ():
+        hashes, row, _, _ = T.words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], T.PLAIN)
+        found, at = T.grams(hashes, row, MIN_MATCH)
+        left = np.searchsorted(block["hash"], found, "left")
+        near = np.flatnonzero(block["hash"][np.minimum(left, len(block["hash"]) - 1)] == found)
+        if not len(near):
+            continue
+        times = np.searchsorted(block["hash"], found[near], "right") - left[near]
+        hit = np.repeat(left[near], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        place = np.repeat(at[near], times)
+        pair = row[place] * len(size) + block["item"][hit]
+        spot = np.unique(pair * width + block["place"][hit])
+        owner, where = spot // width, spot % width
+        step = np.full(len(spot), MIN_MATCH)
+        same = owner[1:] == owner[:-1]
+        step[:-1][same] = np.minimum(MIN_MATCH, np.diff(where)[same])
+        pairs, first = np.unique(owner, return_index=True)
+        most = np.add.reduceat(step, first)  # no more of the item can be covered
+        pairs = pairs[most >= threshold * size[pairs % len(size)]]
+        keep = np.isin(pair, pairs)
+        order = np.argsort(pair[keep], kind="stable")
+        pair, place, spot = pair[keep][order], place[keep][order], block["place"][hit[keep][order]]
+        for one, a, b in zip(pairs.tolist(), np.searchsorted(pair, pairs, "left"), np.searchsorted(pair, pairs, "right"), strict=True):
+            doc, item = divmod(one, len(size))
+            laid = tiles(common_runs(place[a:b], spot[a:b]))
+            covered = sum(n for _, _, n in laid)
+            if covered >= threshold * size[item]:
+                yield lo + doc, item, covered, len(laid)
+
+
+def _scan(block: dict, threshold: float):
+    kinds, names = [pa.int64()] * 5 + [pa.float64()], [x.split()[0] for x in OUT.split(", ")]
 
     def each(batches):
         for batch in batches:
             docs, rows = batch.column(0), []
-            raw, offsets = T.flat(batch.column(1))
-            for lo, hi in T.slices(offsets):
-                hashes, row, _, _ = T.words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], T.PLAIN)
-                found, at = T.grams(hashes, row, MIN_MATCH)
-                left = np.searchsorted(block["hash"], found, "left")
-                near = np.flatnonzero(block["hash"][np.minimum(left, len(block["hash"]) - 1)] == found) if len(block["hash"]) else np.zeros(0, np.int64)
-                if not len(near):
-                    continue
-                times = np.searchsorted(block["hash"], found[near], "right") - left[near]
-                hit = np.repeat(left[near], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                place = np.repeat(at[near], times)
-                pair = row[place] * len(size) + block["item"][hit]
-                spot = np.unique(pair * width + block["place"][hit])
-                owner, where = spot // width, spot % width
-                step = np.full(len(spot), MIN_MATCH)
-                same = owner[1:] == owner[:-1]
-                step[:-1][same] = np.minimum(MIN_MATCH, np.diff(where)[same])
-                pairs, first = np.unique(owner, return_index=True)
-                most = np.add.reduceat(step, first)  # no more of the item can be covered
-                pairs = pairs[most >= threshold * size[pairs % len(size)]]
-                keep = np.isin(pair, pairs)
-                order = np.argsort(pair[keep], kind="stable")
-                pair, place, spot = pair[keep][order], place[keep][order], block["place"][hit[keep][order]]
-                for one, a, b in zip(pairs.tolist(), np.searchsorted(pair, pairs, "left"), np.searchsorted(pair, pairs, "right"), strict=True):
-                    doc, item = divmod(one, len(size))
-                    laid = tiles(common_runs(place[a:b], spot[a:b]))
-                    covered = sum(n for _, _, n in laid)
-                    if covered >= threshold * size[item]:
-                        rows.append((docs[lo + doc].as_py(), ids[item], int(size[item]), covered, len(laid), covered / int(size[item])))
+            for doc, item, covered, n in _leaks_of(block, threshold, batch.column(1)):
+                words = int(block["size"][item])
+                rows.append((docs[doc].as_py(), block["ids"][item], words, covered, n, covered / words))
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return each
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document and item that it leaks: doc_id, item_id, item_words,
-    covered_words, tiles, coverage. Each block of about block_bytes of items is one scan."""
+def _keep(block: dict, threshold: float, at: int):
+    def each(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[x[0] for x in _leaks_of(block, threshold, batch.column(at))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return each
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """The benchmark's index in blocks of about block_bytes of text."""
     items = benchmark.select("item_id", "text")
     blocks = id_range(items, "text", block_bytes)
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = []
     for b in range(blocks):
-        block = index(items.where(share == b).toArrow())
-        found.append(docs.select("doc_id", "text").mapInArrow(_scan(block, threshold), OUT))
-    return reduce(DataFrame.unionByName, found)
+        yield index(items.where(share == b).toArrow())
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document and item that it leaks: doc_id, item_id, item_words,
+    covered_words, tiles, coverage. Each block of about block_bytes of items is one scan."""
+    narrow = docs.select("doc_id", "text")
+    return reduce(DataFrame.unionByName, [narrow.mapInArrow(_scan(block, threshold), OUT) for block in _blocks(benchmark, block_bytes)])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that leak no item: one scan, whatever the number of blocks."""
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(_keep(block, threshold, docs.columns.index("text")), docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

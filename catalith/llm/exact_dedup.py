@@ -59,5 +59,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, all columns; of repeated rows one. The kept ids are found
+    on narrow columns; the texts move once, dealt by id, so no hot group moves with its texts."""
+    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    keys = {"_key": F.coalesce("_id", F.xxhash64("_sha")), "_none": F.col("_id").isNull()}
+    rows = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(normalised(text_col), 256)})
+    on = ["_key", "_none", "_sha"]
+    kept = rows.withColumns(keys).drop("_id").join(stays.withColumns(keys).drop("_id").hint("shuffle_hash"), on)
+    return kept.dropDuplicates(on).select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))

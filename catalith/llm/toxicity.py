@@ -99,6 +99,37 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
     return fit(table.column("text"), toxic)
 
 
+def _scorer(model: dict):
+    """A function from a text column to scores, with the weights laid out once for each task."""
+    weights = np.zeros(1 << BITS)
+    weights[model["at"]] = model["weights"]
+    wanted = weights != 0
+
+    def scores(column: pa.Array) -> np.ndarray:
+        raw, offsets = T.flat(column)
+        out = [np.zeros(0)]
+        for lo, hi in T.slices(offsets):
+            row, at = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], wanted)
+            out.append(np.bincount(row, weights[at], hi - lo))
+        return 1 / (1 + np.exp(-np.clip(model["slope"] * np.concatenate(out) + model["shift"], -35, 35)))
+
+    return scores
+
+
+def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold: one scan, no join."""
+    if model["only"] is not None:
+        return docs if model["only"] < threshold else docs.limit(0)
+    at = docs.columns.index("text")
+
+    def each(batches):
+        scores = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row."""
     kind = docs.schema[id_col].dataType
@@ -106,18 +137,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         return docs.select(id_col, F.lit(model["only"]).alias("score"))
 
     def each(batches):
-        weights = np.zeros(1 << BITS)
-        weights[model["at"]] = model["weights"]
-        wanted = weights != 0
+        scores = _scorer(model)
         for batch in batches:
-            raw, offsets = T.flat(batch.column(1))
-            out = []
-            for lo, hi in T.slices(offsets):
-                row, at = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], wanted)
-                out.append(np.bincount(row, weights[at], hi - lo))
-            sums = np.concatenate(out) if out else np.zeros(0)
-            p = 1 / (1 + np.exp(-np.clip(model["slope"] * sums + model["shift"], -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(each, f"`{id_col}` {kind.simpleString()}, score double")
 
