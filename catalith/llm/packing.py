@@ -19,9 +19,13 @@ ignored; an empty table gives no rows. sequence_id is unique but not gapless.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +35,17 @@ from pyspark.sql import DataFrame
 from catalith.llm import text as T
 from catalith.llm.common import load
 
-WINDOW, END_ID, BATCH_TOKENS, REMEMBER = 4096, 2, 2_000_000, 400_000
+WINDOW, END_ID, BATCH_TOKENS, REMEMBER = 4096, 2, 2_000_000, 600_000
+CLOSED = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 class Words:
-    """Ids of texts by way of their words; remembers up to REMEMBER words."""
+    """Ids of texts by way of their words; remembers up to REMEMBER words. A word is looked
+    up lower-cased in A-Z and without a full stop or comma that closes it after a letter or
+    digit, which the tokenizer splits off in any case."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,27 +55,30 @@ class Words:
         new = list(words.difference(self.known))
         if len(self.known) + len(new) > REMEMBER:
             self.known, new = {}, list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        for word, e in zip(new, found, strict=True):
+            self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, raw: bytes, end: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of one text, and the end id."""
-        words = raw.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words]) + end
-        except KeyError:
-            pass
+        words = CLOSED.sub(rb" \1", raw.lower()).split()
         out = []
-        for at in range(0, len(words), REMEMBER // 4):  # a text of more distinct words than are remembered
+        for at in range(0, len(words), REMEMBER // 4):  # a text may have more words than are remembered
             part = words[at : at + REMEMBER // 4]
-            self.learn(set(part))
-            out += [self.known[w] for w in part]
+            try:
+                out.append(b"".join([self.known[w] for w in part]))
+            except KeyError:
+                self.learn(set(part))
+                out.append(b"".join([self.known[w] for w in part]))
         return b"".join(out) + end
 
 
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    """One table of words for each tokenizer and worker process; tasks of a worker share it."""
+    return Words(path)
+
+
 def fill(lengths: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
     """The multiset of lengths (length: how many there are) whose sum comes closest to
     capacity without passing it, as counts to take, and the slack that stays."""
@@ -145,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def each(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        words, end = Words(tokenizer), np.array([END_ID], "<u4").tobytes()
+        words, end = _words(tokenizer), np.array([END_ID], "<u4").tobytes()
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         kinds = [to_arrow_type(docs_type)] + [pa.int64()] * 6
 
@@ -166,7 +177,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             raw, offsets = T.flat(batch.column(1))
             data = raw.tobytes()
             for lo, hi in T.slices(offsets):
-                words.learn(set(data[offsets[lo] : offsets[hi]].split())) if hi - lo > 1 else None
                 for i, one in zip(range(lo, hi), batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True):
                     texts.append(words.ids(data[offsets[i] : offsets[i + 1]], end))
                     ids.append(one)
