@@ -282,9 +282,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n_shingles; links: a, b). Links join the classes of near-duplicates,
-    equal sets included; they are enough to find the classes, not all pairs."""
+def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n_shingles, same; sets: same, n_shingles, keep; links: a, b). `sets` has
+    every set that may link or repeat, with its smallest id. Links are between those ids;
+    they are enough to find the classes of near-duplicates, not all pairs."""
     ranges = id_range(docs, "text", RANGE_BYTES)
     sent = docs.select("doc_id", "text").mapInArrow(_sent(k, percent, ranges), "origin long, range int, a binary, b binary")
     counts = sent.groupBy("range").applyInArrow(_shared, "origin long, head boolean, a binary, b binary")
@@ -292,7 +293,6 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
 
     left = rows.where("left").select("same", "n_shingles", "doc_id")
     first = cut(left.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("keep")))
-    equal = left.join(first, ["same", "n_shingles"]).where("doc_id <> keep").select(F.col("doc_id").alias("a"), F.col("keep").alias("b"))
     wanted = first.select(F.col("keep").alias("doc_id"), "same")
     sets = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "same")
     sets = cut(sets.mapInArrow(_sets(k), "node long, doc_id long, n long, home long, tokens binary"))
@@ -312,15 +312,18 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     opened = blocks.join(asks.select(F.col("at").alias("block"), "share").distinct(), "block").select("node", F.col("block").alias("at"), "share", F.lit(False).alias("asks"))
     sent = sets.select("node", "doc_id", "tokens").join(asks.unionByName(opened), "node").select("at", "share", "asks", "doc_id", "tokens")
     found = sent.groupBy("at", "share").applyInArrow(_open(percent), "a long, b long")
-    return rows.select("doc_id", "n_shingles"), cut(found.unionByName(equal))
+    return rows.select("doc_id", "n_shingles", "same"), first, cut(found)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id."""
-    rows, found = links(docs, k, percent)
+    """One row for each input row: doc_id, n_shingles, component_id. Roots go to the distinct
+    sets first; then the rows of equal sets, which may be very many, are joined once, on
+    narrow columns that AQE can split."""
+    rows, sets, found = links(docs, k, percent)
     roots = components(found)
-    out = rows.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    named = cut(sets.join(roots.withColumnRenamed("id", "keep"), "keep", "left").select("same", "n_shingles", F.coalesce("root", "keep").alias("class")))
+    out = rows.join(named, ["same", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
