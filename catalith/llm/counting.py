@@ -39,19 +39,19 @@ def asks(chunk: int, by_kind: dict[int, tuple[np.ndarray, np.ndarray]], ranges:
     """by_kind: sorted distinct 64-bit keys (any kind but 1 may leave low bits 0) and own counts."""
     rows = []
     for kind, (keys, counts) in by_kind.items():
-        cuts = np.searchsorted(keys, _edges(ranges))
-        cuts = np.concatenate((cuts, [len(keys)]))
-        for r in range(ranges):
-            lo, hi = cuts[r], cuts[r + 1]
-            if lo < hi:
-                low = T.U(0 if kind == 1 else 16)
-                rows.append((kind, r, chunk, T.pack_sorted(keys[lo:hi] >> low), pack(counts[lo:hi])))
+        low = T.U(0 if kind == 1 else 16)
+        for r, lo, hi in runs((keys >> T.U(32)) * T.U(ranges) >> T.U(32)):
+            rows.append((kind, r, chunk, T.pack_sorted(keys[lo:hi] >> low), pack(counts[lo:hi])))
     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["kind", "range", "chunk", "keys", "counts"])
 
 
-def _edges(ranges: int) -> np.ndarray:
-    return np.array([(i << 64) // ranges for i in range(ranges)], T.U)
+def runs(values: np.ndarray):
+    """(value, start, end) of each run of equal values in an ascending array."""
+    if len(values):
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield int(values[lo]), lo, hi
 
 
 def _answer(table: pa.Table) -> pa.Table:

@@ -93,10 +93,8 @@ def _sent(k: int, percent: int, ranges: int):
         shared = np.bincount(row[np.repeat(times > 1, times) & own], minlength=len(n))
         keys, who = found[at], np.where((times > 1) | ~own[at], EVERY, row[at]).astype("<u2")
         yield origin, -1 - origin % ranges, ids.astype("<i8").tobytes() + valid.astype(np.uint8).tobytes() + digest.tobytes(), np.stack((n, sent, shared)).astype("<i4").tobytes()
-        cuts = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
-        for r in range(ranges):
-            if cuts[r] < cuts[r + 1]:
-                yield origin, r, T.pack_sorted(keys[cuts[r] : cuts[r + 1]]), who[cuts[r] : cuts[r + 1]].tobytes()
+        for r, lo, hi in counting.runs(_range(keys, ranges)):
+            yield origin, r, T.pack_sorted(keys[lo:hi]), who[lo:hi].tobytes()
 
     def each(batches):
         origin = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
