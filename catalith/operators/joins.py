@@ -97,21 +97,27 @@ def match_cascade(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return found
 
 
-def clock_offset(reference: DataFrame, other: DataFrame, at: str, bucket: int, reach: int, sample: int = 400) -> DataFrame:
-    """Offset between two clocks: all differences of at most `sample` evenly spaced times of
-    each (the operator's own bound), the mode of their buckets (ties: the smaller), the mean
-    of differences within `reach` of it, and the share of the smaller sample in the bucket."""
-    def strided(df: DataFrame, name: str) -> DataFrame:
-        w = W.orderBy(at)
-        n = df.select(at).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy())})
-        return n.where(F.col("_i") % F.ceil(F.col("_n") / sample) == 0).select(F.col(at).alias(name))
-
-    a, b = strided(reference, "r"), strided(other, "o")
-    deltas = F.broadcast(a).crossJoin(b).select((F.col("r") - F.col("o")).alias("d")).withColumn("bucket", F.floor(F.col("d") / bucket))
-    mode = deltas.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bucket").limit(1)
-    size = a.agg(F.count(F.lit(1)).alias("_x")).crossJoin(b.agg(F.count(F.lit(1)).alias("_y"))).select(F.least("_x", "_y").alias("smaller"))
-    near = deltas.drop("bucket").crossJoin(F.broadcast(mode)).where(F.abs(F.col("d") - F.col("bucket") * bucket) <= reach)
-    return near.groupBy("bucket", "n").agg(F.avg("d").cast("long").alias("offset")).crossJoin(size).select("bucket", "offset", (F.least("n", "smaller") / F.col("smaller")).alias("confidence"))
+def clock_offsets(rows: DataFrame, camera: str, at: str, bucket: int, reach: int, sample: int = 400) -> DataFrame:
+    """Offset of every camera's clock to that of the reference, the one with most rows (ties:
+    the smaller): differences of at most `sample` evenly spaced times of each (the operator's
+    own bound), the mode of their buckets (ties: the smaller), the mean of the differences
+    within `reach` of it, and the share of the smaller sample that the mode holds. The
+    reference's sample is bounded and is broadcast."""
+    w = W.partitionBy(camera)
+    n = rows.select(camera, at).withColumns({"_i": F.row_number().over(w.orderBy(at)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    strided = n.where(F.col("_i") % F.ceil(F.col("_n") / sample) == 0).select(camera, at)
+    first = rows.groupBy(camera).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), camera).limit(1).select(F.col(camera).alias("reference"))
+    reference = strided.join(F.broadcast(first), F.col(camera) == F.col("reference")).select("reference", F.col(at).alias("_r"))
+    others = strided.join(F.broadcast(first), F.col(camera) != F.col("reference"), "left_semi")
+    deltas = others.join(F.broadcast(reference)).select(camera, "reference", (F.col("_r") - F.col(at)).alias("d"))
+    counted = deltas.groupBy(camera, F.floor(F.col("d") / bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    mode = counted.withColumn("_i", F.row_number().over(W.partitionBy(camera).orderBy(F.desc("n"), "bucket"))).where("_i = 1").drop("_i")
+    sizes = strided.groupBy(camera).agg(F.count(F.lit(1)).alias("_own"))
+    whole = reference.agg(F.count(F.lit(1)).alias("_all"))
+    near = deltas.join(mode, camera).where(F.abs(F.col("d") - F.col("bucket") * bucket) <= reach)
+    offset = near.groupBy(camera, "bucket", "n").agg(F.avg("d").cast("long").alias("offset"))
+    least = F.least("_own", "_all")
+    return offset.join(sizes, camera).crossJoin(F.broadcast(whole)).select(camera, "bucket", "offset", (F.least("n", least) / least).alias("confidence"))  # one row
 
 
 def greedy_links(pairs: DataFrame, action: str, reaction: str, bonus: str, most: int) -> DataFrame:

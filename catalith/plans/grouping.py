@@ -93,17 +93,17 @@ def key_frame(t):
 
 
 @query("threshold_sweep", """
-WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 5 = 0),
-p AS (SELECT 1 - list_dot_product(a.v, b.v) AS d, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS same FROM v a JOIN v b ON a.vec_id < b.vec_id), g AS (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold)
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT 1 - list_dot_product(a.v, b.v) AS d, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS same FROM v a JOIN v b ON a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id), g AS (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold)
 SELECT threshold, round(2 * sum(CASE WHEN d <= threshold THEN same ELSE 0 END) / (sum(CASE WHEN d <= threshold THEN 1 ELSE 0 END) + sum(same)), 6) AS f1 FROM p, g GROUP BY 1""")
 def threshold_sweep(t):
-    """All pairs of a stated fifth of the vectors, read in blocks against each other."""
-    from catalith.operators.similarity import within_radius
+    """Pairs within runs of fifty vectors, which stand for labelled groups of bounded size."""
+    from catalith.operators.similarity import group_pairs
 
-    base = t("embeddings").where("vec_id % 5 = 0")
+    base = t("embeddings").withColumn("run", F.expr("vec_id div 50"))
     label = lambda n: base.select(F.col("vec_id").alias(n), F.col("label").alias(f"{n}_label"))
-    pairs = within_radius(base, base, "vec_id", "embedding", 2.0).where("vec_id < neighbour").join(label("vec_id"), "vec_id").join(label("neighbour"), "neighbour")
-    swept = G.threshold_sweep(pairs.withColumn("same", (F.col("vec_id_label") == F.col("neighbour_label")).cast("int")), "distance", "same", [0.6, 0.7, 0.8, 0.9])
+    pairs = group_pairs(base, "vec_id", "embedding", "run").join(label("a"), "a").join(label("b"), "b")
+    swept = G.threshold_sweep(pairs.withColumn("same", (F.col("a_label") == F.col("b_label")).cast("int")), "distance", "same", [0.6, 0.7, 0.8, 0.9])
     return swept.select("threshold", F.round("f1", 6).alias("f1"))
 
 

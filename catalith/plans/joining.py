@@ -133,17 +133,18 @@ def match_cascade(t):
 
 
 @query("clock_offset", """
-WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events WHERE user_id IN (1, 2)),
+WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e),
 p AS (SELECT user_id, s FROM n WHERE i % ceil(n / 400.0)::BIGINT = 0),
-d AS (SELECT a.s - b.s AS d, floor((a.s - b.s) / 3600.0)::BIGINT AS bucket FROM p a JOIN p b ON a.user_id = 1 AND b.user_id = 2),
-m AS (SELECT bucket, count(*) AS n FROM d GROUP BY 1 ORDER BY n DESC, bucket LIMIT 1),
-z AS (SELECT least(count(*) FILTER (user_id = 1), count(*) FILTER (user_id = 2)) AS z FROM p)
-SELECT m.bucket, trunc(avg(d.d))::BIGINT AS "offset", round(least(any_value(m.n), any_value(z.z)) / any_value(z.z), 6) AS confidence
-FROM m, d, z WHERE abs(d.d - m.bucket * 3600) <= 7200 GROUP BY 1""")
+r AS (SELECT user_id AS reference FROM e GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1),
+d AS (SELECT b.user_id, a.s - b.s AS d, floor((a.s - b.s) / 3600.0)::BIGINT AS bucket FROM p a JOIN r ON a.user_id = reference JOIN p b ON b.user_id <> reference),
+m AS (SELECT user_id, bucket, count(*) AS n FROM d GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, bucket) = 1),
+z AS (SELECT user_id, least(count(*), (SELECT count(*) FROM p JOIN r ON user_id = reference)) AS z FROM p GROUP BY 1)
+SELECT m.user_id, m.bucket, trunc(avg(d.d))::BIGINT AS "offset", round(least(any_value(m.n), any_value(z.z)) / any_value(z.z), 6) AS confidence
+FROM m JOIN d ON d.user_id = m.user_id AND abs(d.d - m.bucket * 3600) <= 7200 JOIN z ON z.user_id = m.user_id GROUP BY 1, 2""")
 def clock_offset(t):
     e = t("events").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("s"))
-    return J.clock_offset(e.where("user_id = 1"), e.where("user_id = 2"), "s", 3600, 7200).withColumn("confidence", F.round("confidence", 6))
+    return J.clock_offsets(e, "user_id", "s", 3600, 7200).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("dimension_fallback", """
