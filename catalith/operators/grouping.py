@@ -100,15 +100,13 @@ def swapped_for_distinct(rows: DataFrame, chapter: str, moment: str, score: str,
 
 
 def reconciled(kept: DataFrame, rows: DataFrame, key: str, score: str, target: int, protected: str) -> DataFrame:
-    """Grow to the target by the best rows not kept, or shrink to it by the worst unprotected."""
-    n = kept.agg(F.count(F.lit(1)).alias("_n"))
-    first = lambda df, order: df.withColumn("_i", F.row_number().over(W.orderBy(*order)))
-    short = F.broadcast(n.select((F.lit(target) - F.col("_n")).alias("_short")))  # one row
-    grow = rows.join(kept.select(key), key, "left_anti").orderBy(F.desc(score), key).limit(target)
-    added = first(grow, [F.desc(score), F.asc(key)]).crossJoin(short).where("_i <= _short").select(rows.columns)
-    worst = kept.where(~F.col(protected)).orderBy(score, F.desc(key))
-    gone = first(worst, [F.asc(score), F.desc(key)]).crossJoin(short).where("_i <= -_short").select(key)
-    return kept.join(gone, key, "left_anti").select(rows.columns).unionByName(added)
+    """Grow to the target by the best rows not kept, or shrink to it by the worst unprotected.
+    How many rows are short is counted first, so that each way is a plain top-k."""
+    short = target - kept.count()
+    if short > 0:
+        return kept.select(rows.columns).unionByName(rows.join(kept.select(key), key, "left_anti").select(rows.columns).orderBy(F.desc(score), key).limit(short))
+    gone = kept.where(~F.col(protected)).orderBy(score, F.desc(key)).limit(-short).select(key)
+    return kept.join(gone, key, "left_anti").select(rows.columns)
 
 
 def minimum_each(kept: DataFrame, rows: DataFrame, key: str, members: str, score: str, least: int) -> DataFrame:

@@ -53,21 +53,34 @@ def temperature_fit(rows: DataFrame, raw: str, correct: str, low: float = 0.5, h
     return wide.select(F.array_min("g").alias("m")).select("m.temperature", "m.loss")
 
 
+def running(points: DataFrame, at: str, sums: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
+    """Adds run_<c>, the sum of c over all points up to and including each one, and all_<c>,
+    its total. Points are dealt into at most `parts` ranges of `at` by approximate quantiles;
+    running sums are taken within each range and shifted by the sums of the ranges before it,
+    so no task sorts all points."""
+    quantiles = points.approxQuantile(at, [i / parts for i in range(1, parts)], 0.25 / parts)
+    bounds = F.array(*[F.lit(float(q)) for q in sorted(set(quantiles))]) if quantiles else F.array().cast("array<double>")
+    dealt = points.withColumn("_r", F.size(F.filter(bounds, lambda q: q <= F.col(at))))
+    order = lambda c: F.desc(c) if descending else F.asc(c)
+    before = W.orderBy(order("_r")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_r").agg(*[F.sum(c).alias(f"_{c}") for c in sums])  # at most `parts` rows
+    ranges = ranges.select("_r", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums], *[F.sum(f"_{c}").over(W.partitionBy()).alias(f"all_{c}") for c in sums])
+    within = W.partitionBy("_r").orderBy(order(at)).rowsBetween(W.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(ranges), "_r").withColumns({f"run_{c}": F.col(f"_{c}") + F.sum(c).over(within) for c in sums}).drop("_r", *[f"_{c}" for c in sums])
+
+
 def pr_curve(rows: DataFrame, score: str, relevant: str) -> DataFrame:
-    """Precision and recall at each distinct score, best scores first. Scores are summed before
-    the running totals, which then run over distinct scores."""
+    """Precision and recall at each distinct score, best scores first."""
     n = rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(relevant).alias("hits"))
-    run = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    total = n.agg(F.sum("hits").alias("_total"))
-    c = n.withColumns({"seen": F.sum("n").over(run), "found": F.sum("hits").over(run)}).crossJoin(F.broadcast(total))
-    return c.select(score, (F.col("found") / F.col("seen")).alias("precision"), (F.col("found") / F.col("_total")).alias("recall"))
+    c = running(n, score, ["n", "hits"], descending=True)
+    return c.select(score, (F.col("run_hits") / F.col("run_n")).alias("precision"), (F.col("run_hits") / F.col("all_hits")).alias("recall"))
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney area with mid-ranks for ties, from counts of distinct scores."""
     n = rows.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    below = F.sum("q").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    wins = n.withColumn("w", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2))
+    below = F.col("run_q") - F.col("q")
+    wins = running(n, score, ["q"]).withColumn("w", F.col("p") * (below + F.col("q") / 2))
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
@@ -132,10 +145,8 @@ def accept_rate_at(rows: DataFrame, score: str, same: str, false_rate: float) ->
     """True accept rate at the loosest distance threshold whose false accept rate stays within
     false_rate, from counts of distinct scores (smaller is closer)."""
     n = rows.groupBy(score).agg(F.sum(same).alias("p"), F.sum(1 - F.col(same)).alias("q"))
-    run = W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)
-    total = n.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
-    c = n.withColumns({"tp": F.sum("p").over(run), "fp": F.sum("q").over(run)}).crossJoin(F.broadcast(total))
-    return c.where(F.col("fp") <= false_rate * F.col("_q")).agg(F.coalesce(F.max(F.col("tp") / F.col("_p")), F.lit(0.0)).alias("accept_rate"))
+    c = running(n, score, ["p", "q"])
+    return c.where(F.col("run_q") <= false_rate * F.col("all_q")).agg(F.coalesce(F.max(F.col("run_p") / F.col("all_p")), F.lit(0.0)).alias("accept_rate"))
 
 
 def ridge(rows: DataFrame, groups: list[str], x: str, y: str, penalty: float, prior: float) -> DataFrame:
