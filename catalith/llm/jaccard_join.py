@@ -11,11 +11,12 @@ Documents link when num-in-common * 100 >= percent * size-of-union. The join
    lost. Shingles travel sorted and packed by hash range;
 2. keeps one document of each group of equal sets and fetches the whole sets of
    those that are left;
-3. partitions them into groups of similar documents (the smallest shingle under
-   a second hash), cut into blocks of bounded size, and stores the matrix of
-   shingles against blocks. Corpus counts of the shingles (see counting) order
-   them from rare to frequent; a document asks a block only if one of the rarest
-   shingles that it needs (prefix filter) is in the block's column;
+3. counts their shingles (see counting) and partitions them into groups of
+   similar documents, by the most frequent shingle of each: the copies of a text
+   share it, whatever else they changed. Groups are cut into blocks of bounded
+   size; the matrix holds shingles against blocks. From rare to frequent, a
+   document asks a block only if one of the rarest shingles that it needs (prefix
+   filter) is in the block's column;
 4. sends each document to the blocks it has to ask. There the number of its
    shingles in the block's union bounds its overlap with every member; only
    blocks that reach the bound are opened, and members are compared exactly.
@@ -49,7 +50,7 @@ from catalith.llm.common import cut, id_range, load
 #: hash range. Sets that may be partners of small ones send every shingle too.
 SMALL, SENT = 64, 0.3
 #: Bytes of text for each range of shingle hashes; shingles of a chunk; members of a block; documents that ask a block in one task.
-RANGE_BYTES, CHUNK, BLOCK, ASKING = 8 << 20, 1 << 20, 256, 1024
+RANGE_BYTES, CHUNK, BLOCK, ASKING = 8 << 20, 1 << 20, 512, 1024
 EVERY = 0xFFFF
 
 
@@ -168,9 +169,9 @@ def _left(percent: int):
 
 
 def _sets(k: int):
-    """(doc_id, text, same) to (node, doc_id, n, home, tokens): the sets whose digest is
-    wanted of the id, with their group."""
-    names = ["node", "doc_id", "n", "home", "tokens"]
+    """(doc_id, text, same) to (node, doc_id, n, tokens): the sets whose digest is wanted of
+    the id."""
+    names = ["node", "doc_id", "n", "tokens"]
 
     def each(batches):
         for batch in batches:
@@ -185,10 +186,9 @@ def _sets(k: int):
                 parts = [found[bounds[i] : bounds[i + 1]] for i in full]
                 sizes = np.array([len(x) for x in parts])
                 found, starts = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
-                home = np.minimum.reduceat(T.mix(found + T.U(0x51ED2701)), starts[:-1])
                 mine = ids.slice(lo, hi - lo).take(pa.array(full)).cast(pa.int64())
                 node = T.mix(np.asarray(mine).view(T.U) + T.mix(digest[full, 0] ^ T.mix(digest[full, 1])))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), mine, pa.array(sizes, pa.int64()), pa.array(home.view(np.int64)), T.blobs(found, starts)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), mine, pa.array(sizes, pa.int64()), T.blobs(found, starts)], names=names)
 
     return each
 
@@ -203,8 +203,9 @@ def _ask(ranges: int):
 
 def _prefix(percent: int):
     def each(key, table: pa.Table, given: pa.Table) -> pa.Table:
-        """The rarest shared shingles of each set that a partner has to have one of."""
-        nodes, out = [], []
+        """The rarest shared shingles of each set that a partner has to have one of, and the
+        most frequent one, which names its group."""
+        nodes, homes, out = [], [], []
         if table.num_rows:
             sets = T.arrays(table.column("tokens").combine_chunks(), "<u8")
             counts, keys = counting.read(given, 1), np.unique(np.concatenate(sets))
@@ -213,9 +214,11 @@ def _prefix(percent: int):
                 shared = np.flatnonzero(c > 1)
                 many = len(shared) - needed(len(mine), percent) + 1
                 if many > 0:
-                    out.append(mine[shared[np.lexsort((mine[shared], c[shared]))[:many]]])
+                    ordered = mine[shared[np.lexsort((mine[shared], c[shared]))]]
+                    out.append(ordered[:many])
                     nodes += [node] * many
-        return pa.table({"node": pa.array(nodes, pa.int64()), "token": pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())})
+                    homes += [int(ordered[-1].view(np.int64))] * many
+        return pa.table({"node": pa.array(nodes, pa.int64()), "home": pa.array(homes, pa.int64()), "token": pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())})
 
     return each
 
@@ -293,18 +296,19 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame,
     first = cut(left.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("keep")))
     wanted = first.select(F.col("keep").alias("doc_id"), "same")
     sets = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "same")
-    sets = cut(sets.mapInArrow(_sets(k), "node long, doc_id long, n long, home long, tokens binary"))
+    sets = cut(sets.mapInArrow(_sets(k), "node long, doc_id long, n long, tokens binary"))
 
     chunks = -(-(sets.agg(F.sum("n")).first()[0] or 1) // CHUNK)
     dealt = sets.select(F.pmod("node", F.lit(chunks)).alias("chunk"), "node", "tokens")
     given = counting.answers(dealt.groupBy("chunk").applyInArrow(_ask(chunks), counting.ASK)).where("chunk >= 0").select(F.col("chunk").alias("of"), "kind", "range", "counts")
-    prefix = cut(dealt.groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(_prefix(percent), "node long, token long"))
+    prefix = cut(dealt.groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(_prefix(percent), "node long, home long, token long"))
 
-    crowd = sets.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
+    nodes = prefix.select("node", "home").distinct()
+    crowd = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / BLOCK)))
-    blocks = cut(sets.select("node", "home").join(crowd, "home").select("node", block.alias("block")).distinct())
-    columns = prefix.join(blocks, "node").select("token", F.col("block").alias("at")).distinct()
-    asks = prefix.join(columns, "token").select("node", "at").distinct()
+    blocks = cut(nodes.join(crowd, "home").select("node", block.alias("block")))
+    columns = prefix.select("node", "token").join(blocks, "node").select("token", F.col("block").alias("at")).distinct()
+    asks = prefix.select("node", "token").join(columns, "token").select("node", "at").distinct()
     busy = asks.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("shares"))
     asks = cut(asks.join(busy, "at").select("node", "at", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(True).alias("asks")))
     opened = blocks.join(asks.select(F.col("at").alias("block"), "share").distinct(), "block").select("node", F.col("block").alias("at"), "share", F.lit(False).alias("asks"))
