@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from catalith.llm import counting, text as T
 from catalith.llm.common import cut, fold, id_range, load
 
-CHUNK_BYTES, DELETED, OCTAVES = 8 << 20, 10, 40
+CHUNK_BYTES, DELETED, OCTAVES = 16 << 20, 10, 40
 START, END = T.mix(np.array([0x51A27, 0xE4D], T.U))
 #: Cells of the held-out table: estimates to a quarter of an octave; ZERO stands for no count.
 STEP, ZERO = 4, -400

@@ -8,6 +8,7 @@ by an avalanche; it is 64 bits wide and the same on every machine.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -163,22 +164,24 @@ def arrays(column, kind) -> list[np.ndarray]:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as the first one and differences of as few bytes as they need."""
+    """Sorted distinct 64-bit keys as the first one and differences. The low bytes of the
+    differences, which are noise, are kept as they are; the few bits above them are deflated."""
     if not len(keys):
         return b""
     gaps = np.diff(keys)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    body = np.ascontiguousarray(gaps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.array([keys[0]], "<u8").tobytes() + bytes([width]) + body.tobytes()
+    low = min(width, int(gaps.mean(dtype=np.float64)).bit_length() // 8) if len(gaps) else 0
+    body = np.ascontiguousarray(gaps.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.array([keys[0]], "<u8").tobytes() + bytes([width, low]) + np.array([len(gaps)], "<u4").tobytes() + np.ascontiguousarray(body[:, :low]).tobytes() + zlib.compress(np.ascontiguousarray(body[:, low:width].T).tobytes(), 1)
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:
     if not len(packed):
         return np.zeros(0, U)
-    width = packed[8]
-    body = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body), 8), np.uint8)
-    gaps[:, :width] = body
+    width, low, n = packed[8], packed[9], int(np.frombuffer(packed, "<u4", 1, 10)[0])
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :low] = np.frombuffer(packed, np.uint8, n * low, 14).reshape(n, low)
+    gaps[:, low:width] = np.frombuffer(zlib.decompress(packed[14 + n * low :]), np.uint8).reshape(width - low, n).T
     out = np.concatenate((np.frombuffer(packed, "<u8", 1), gaps.view("<u8").ravel()))
     return np.cumsum(out, dtype=U)
 
