@@ -34,14 +34,14 @@ def micros(ts: str):
 
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...], settled_before: str | None = None) -> DataFrame:
     """Manifest of the files below root: path, name, extension, kind, bytes, modified, accepted.
-    Hidden and empty files and unknown extensions are kept as rejected rows."""
+    Unknown extensions are kept as rejected rows; the reader leaves empty files out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if settled_before:
         reader = reader.option("modifiedBefore", settled_before)
     files = reader.load(root).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return files.select("path", name.alias("name"), ext.alias("extension"), "bytes", "modified", (ext.isin(*extensions) & ~name.startswith(".") & (F.col("bytes") > 0)).alias("accepted"))
+    return files.select("path", name.alias("name"), ext.alias("extension"), "bytes", "modified", (ext.isin(*extensions) & ~name.startswith(".")).alias("accepted"))
 
 
 def content_digests(spark: SparkSession, root: str) -> DataFrame:
