@@ -21,16 +21,13 @@ def not_in(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> Data
 
 
 def range_join(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
-    """Points with the closed ranges that hold them. Ranges are exploded into the buckets of
-    `width` that they touch, so the join hashes on the bucket; a point falls into one bucket,
-    so no pair comes twice. Choose width near the usual length of a range."""
-    buckets = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return points.withColumn("_b", F.floor(F.col(at) / width)).join(buckets, ["_b"], how).where(F.col(at).between(F.col(start), F.col(end))).drop("_b") if how == "inner" else _outer_range(points, at, buckets, start, end, width)
-
-
-def _outer_range(points: DataFrame, at: str, buckets: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    p = points.withColumn("_b", F.floor(F.col(at) / width))
-    return p.join(buckets.withColumnRenamed("_b", "_c"), (F.col("_b") == F.col("_c")) & F.col(at).between(F.col(start), F.col(end)), "left").drop("_b", "_c")
+    """Points with the closed ranges that hold them ("left" keeps points that none holds).
+    Ranges are exploded into the buckets of `width` that they touch, so the join hashes on the
+    bucket; a point falls into one bucket, so no pair comes twice. Choose width near the usual
+    length of a range."""
+    buckets = ranges.withColumn("_c", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    dealt = points.withColumn("_b", F.floor(F.col(at) / width))
+    return dealt.join(buckets, (F.col("_b") == F.col("_c")) & F.col(at).between(F.col(start), F.col(end)), how).drop("_b", "_c")
 
 
 def band_pairs(rows: DataFrame, key: str, at: str, reach: int, group: list[str] | None = None, carry: list[str] = ()) -> DataFrame:

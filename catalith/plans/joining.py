@@ -9,7 +9,6 @@ from catalith.operators import joins as J
 from catalith.plans.registry import query
 
 HOUR = 3_600_000_000
-US = F.unix_micros
 
 
 def timed(events):

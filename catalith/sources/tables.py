@@ -27,11 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def micros(ts: str):
-    """Microseconds since the epoch of a zone-less timestamp, read as UTC."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts)) if hasattr(F, "timestamp_diff") else F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})")
-
-
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...], settled_before: str | None = None) -> DataFrame:
     """Manifest of the files below root: path, name, extension, kind, bytes, modified, accepted.
     Unknown extensions are kept as rejected rows; the reader leaves empty files out."""
