@@ -28,11 +28,13 @@ def chunk_of(doc_id: str, chunks: int) -> Column:
 
 
 def pack(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+    """Counts of four bytes each, or of eight where one is too large for four; the first byte tells."""
+    size = b"4" if counts.max(initial=0) < 1 << 32 else b"8"
+    return size + zlib.compress(counts.astype(b"<u" + size).tobytes(), 1)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(packed[1:]), b"<u" + packed[:1]).astype(np.int64)
 
 
 def asks(chunk: int, by_kind: dict[int, tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:

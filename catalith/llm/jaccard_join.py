@@ -145,7 +145,7 @@ def _shared(table: pa.Table) -> pa.Table:
         source, who = source[hit], who[hit]
         for s in np.unique(source):
             lo, hi = np.searchsorted(source, (s, s + 1))
-            out.append((int(origins[s]), False, b"", zlib.compress(np.bincount(who[lo:hi]).astype("<u2").tobytes(), 1)))
+            out.append((int(origins[s]), False, b"", zlib.compress(np.bincount(who[lo:hi]).astype("<u4").tobytes(), 1)))
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["origin", "head", "a", "b"])
 
 
@@ -159,7 +159,7 @@ def _left(percent: int):
                 ids, valid, digest = np.frombuffer(a, "<i8", n), np.frombuffer(a, np.uint8, n, 8 * n), np.frombuffer(a, "<u8", 2 * n, 9 * n)
                 size, sent, shared = (x.astype(np.int64) for x in np.frombuffer(b, "<i4").reshape(3, -1))
             else:
-                more.append(np.frombuffer(zlib.decompress(b), "<u2"))
+                more.append(np.frombuffer(zlib.decompress(b), "<u4"))
         for x in more:
             shared[: len(x)] += x
         left = (sent - shared <= size - needed(size, percent)) & (size > 0) & (valid > 0)

@@ -4,11 +4,12 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm import decontaminate, exact_dedup, jaccard_join, language, licenses, lm_score, packing, pii, text as T, toxicity, url_filter
+from catalith.llm import counting, decontaminate, exact_dedup, jaccard_join, language, licenses, lm_score, packing, pii, text as T, toxicity, url_filter
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,6 +299,20 @@ def test_jaccard_of_repeated_rows_and_nulls(spark, empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+def test_long_copies_in_separate_partitions_meet(spark):
+    words = [f"w{i}" for i in range(250_000)]
+    texts = {4: " ".join(words), 2: " ".join(words), 9: " ".join([*words[:100_000], "other", *words[100_001:]]), 7: "none of these words"}
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in texts.items()], DOCS).repartitionByRange(4, "doc_id")
+    assert docs.rdd.glom().map(len).collect() == [1, 1, 1, 1]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs).collect()}
+    assert got == brute.classes(texts, 5, 80)
+
+
+def test_packed_counts_of_any_size_come_back():
+    for counts in ([], [0, 1, 70_000, (1 << 32) - 1], [3, 1 << 32, (1 << 40) + 5]):
+        assert counting.unpack(counting.pack(np.array(counts, np.int64))).tolist() == counts
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (300, 300)]
     got = {r["id"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
