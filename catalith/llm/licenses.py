@@ -10,14 +10,20 @@ words over all template words is the coverage.
 
 Defined results: templates of fewer than GRAM words can't be found; null and
 empty texts match nothing; rows with a null doc_id are scanned like others;
-repeated rows are scanned one by one; of matches of one template that overlap in
-a document the best stays (more matched words, then the earlier); extra columns
-are ignored; an empty table gives no rows.
+repeated rows are scanned one by one; of matches that overlap in a document, of
+whatever templates, the best stays (more matched words, then the larger coverage,
+then the earlier); a match counts only with the words that tell its licence from
+its kin (NEEDED) and without theirs (RIVAL); extra columns are ignored; an empty
+table gives no rows. Templates are statements, headers and the whole texts in
+`license_texts` (named -full). A stretch that drifts more than BAND words from
+its diagonal is measured up to there.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +35,11 @@ from catalith.llm.common import load
 GRAM, WINDOW, BAND = 3, 3, 6
 OUT = "doc_id long, license string, matched_words long, template_words long, coverage double, start long, end long"
 
-# The opening statements by which texts name their licence.
+# The statements and headers by which texts name their licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -42,7 +48,37 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
+#: Words of which a match has to hold one of each group, and words that it may not hold.
+_GNU, _CC = "lesser library affero", "noncommercial sharealike noderivatives noderivs commercial nc sa nd"
+NEEDED = {
+    "Apache-2.0": ["apache", "2"], "Apache-2.0-header": ["apache", "2"], "MIT": ["mit"], "MPL-2.0": ["mozilla mpl", "2"],
+    "GPL-2.0": ["2 v2"], "GPL-3.0": ["3 v3"], "LGPL-2.1": ["lesser", "2 v2", "1"], "LGPL-3.0": ["lesser", "3 v3"], "AGPL-3.0": ["affero", "3 v3"],
+    "GPL-2.0-header": ["2 v2"], "GPL-3.0-header": ["3 v3"], "LGPL-2.1-header": ["lesser", "2 v2", "1"], "LGPL-3.0-header": ["lesser", "3 v3"], "AGPL-3.0-header": ["affero", "3 v3"],
+    "CC-BY-4.0": ["4"], "CC-BY-NC-4.0": ["nc", "4"], "CC-BY-NC-4.0-long": ["noncommercial commercial", "4"], "CC-BY-SA-4.0": ["sa", "4"], "CC-BY-SA-4.0-long": ["sharealike alike", "4"],
+}
+RIVAL = {
+    "GPL-2.0": _GNU, "GPL-2.0-header": _GNU, "GPL-3.0": _GNU, "GPL-3.0-header": _GNU, "GPL-3.0-full": "remotely",
+    "CC-BY-4.0": _CC, "CC-BY-NC-4.0": "sa nd", "CC-BY-NC-4.0-long": "sharealike noderivatives noderivs", "CC-BY-SA-4.0": "nc nd", "CC-BY-SA-4.0-long": "noncommercial",
+    "BSD-2-Clause-full": "neither endorse",
+}
+
+
+@lru_cache(maxsize=1)
+def all_templates() -> dict[str, str]:
+    """TEMPLATES and the whole texts shipped with the package; read by the driver."""
+    return TEMPLATES | {f"{f.stem}-full": f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def winnow(found: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -96,6 +132,21 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND
     return best[1], best[2], best[3]
 
 
+def reach(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> int:
+    """No alignment within band of the diagonal matches more template words than this."""
+    padded = np.arange(len(template)) + diagonal
+    hit = np.zeros(len(template), bool)
+    for k in range(-band, band + 1):
+        lo, hi = np.searchsorted(padded, (-k, len(doc) - k))
+        hit[lo:hi] |= doc[padded[lo:hi] + k] == template[lo:hi]
+    return int(hit.sum())
+
+
+def _hashed(some: list[str]) -> np.ndarray:
+    raw, offsets = T.flat(pa.array(some, pa.string()))
+    return T.words(raw, offsets, T.PLAIN)[0]
+
+
 def _index(templates: dict[str, str]) -> dict:
     names = sorted(templates)
     raw, offsets = T.flat(pa.array([templates[x] for x in names]))
@@ -104,7 +155,8 @@ def _index(templates: dict[str, str]) -> dict:
     kept = winnow(found, row[at], len(names))
     bounds = np.searchsorted(row, np.arange(len(names) + 1))
     order = kept[np.argsort(found[kept], kind="stable")]
-    return {"names": names, "words": [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], "hash": found[order], "of": row[at][order], "place": at[order] - bounds[row[at][order]]}
+    tells = [([_hashed(x.split()) for x in NEEDED.get(n, [])], _hashed(RIVAL.get(n, "").split())) for n in names]
+    return {"names": names, "tells": tells, "words": [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], "hash": found[order], "of": row[at][order], "place": at[order] - bounds[row[at][order]]}
 
 
 def _scan(index: dict, threshold: float):
@@ -127,23 +179,31 @@ def _scan(index: dict, threshold: float):
                     while j < len(index["hash"]) and index["hash"][j] == found[kept[i]]:
                         looks[int(row[place]), int(index["of"][j])].append(place - int(bounds[row[place]]) - int(index["place"][j]))
                         j += 1
+                spans = defaultdict(list)
                 for (doc, of), diagonals in sorted(looks.items()):
                     words, template = hashes[bounds[doc] : bounds[doc + 1]], index["words"][of]
-                    spans, before = [], None
+                    if len(words) < threshold * len(template):
+                        continue
+                    needed, rival = index["tells"][of]
+                    before = None
                     for d in sorted(diagonals):
                         if before is not None and d - before <= BAND // 2:
                             continue  # the band about the last diagonal holds this one too
                         before = d
+                        if reach(words, template, d) < threshold * len(template):
+                            continue
                         matched, first, last = align(words, template, d)
-                        if matched >= threshold * len(template):
-                            spans.append((-matched, first, last))
+                        held = words[first : last + 1]
+                        if matched >= threshold * len(template) and all(np.isin(x, held).any() for x in needed) and not np.isin(rival, held).any():
+                            spans[doc].append((-matched, -matched / len(template), first, last, of))
+                for doc, found_here in sorted(spans.items()):
                     taken: list[tuple[int, int]] = []
-                    for minus, first, last in sorted(spans):
+                    for minus, share, first, last, of in sorted(found_here):
                         if all(last < a or first > b for a, b in taken):
                             taken.append((first, last))
                             a, b = int(starts[bounds[doc] + first]), int(ends[bounds[doc] + last])
                             chars = lambda to, doc=doc: int(((part[cuts[doc] : to] & 0xC0) != 0x80).sum())
-                            rows.append((docs[lo + doc].as_py(), index["names"][of], -minus, len(template), -minus / len(template), chars(a), chars(b)))
+                            rows.append((docs[lo + doc].as_py(), index["names"][of], -minus, len(index["words"][of]), -share, chars(a), chars(b)))
             if rows:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
@@ -154,7 +214,7 @@ def _scan(index: dict, threshold: float):
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row for each match: doc_id, license, matched_words, template_words, coverage, and
     start and end in code points (end exclusive). `templates` is a configured, bounded table."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(_index(templates or TEMPLATES), threshold), OUT)
+    return docs.select("doc_id", "text").mapInArrow(_scan(_index(templates or all_templates()), threshold), OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -267,6 +267,31 @@ def test_license_scan(spark):
     assert not got[2] and not got[3] and not got[4] and not got[7]
 
 
+def test_license_names_tell_kin_apart(spark):
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    whole = licenses.all_templates()
+    texts = {gnu.format("", 2): ["GPL-2.0"], gnu.format("", 3): ["GPL-3.0"], gnu.format("Lesser ", 3): ["LGPL-3.0"], gnu.format("Affero ", 3): ["AGPL-3.0"], gnu.format("", 4): [],
+             cc.format(""): ["CC-BY-4.0"], cc.format("-NonCommercial"): ["CC-BY-NC-4.0-long"], cc.format("-ShareAlike"): ["CC-BY-SA-4.0-long"], cc.format("-NoDerivatives"): []}
+    for name in ("GPL-2.0-full", "GPL-3.0-full", "LGPL-2.1-full", "Apache-2.0-full", "MIT-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "ISC-full", "MPL-2.0-full"):
+        texts[f"First words. {whole[name]}"] = [name]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = defaultdict(list)
+    for r in licenses.license_scan(docs).collect():
+        got[r["doc_id"]].append((r["license"], r["coverage"]))
+    for i, (text, names) in enumerate(texts.items()):
+        assert [x[0] for x in got[i]] == names, text[:90]
+        assert all(x[1] == 1 for x in got[i])
+
+
+def test_reach_bounds_the_alignment():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        doc, template = rng.integers(0, 6, int(rng.integers(1, 40))).astype(np.uint64), rng.integers(0, 6, int(rng.integers(1, 25))).astype(np.uint64)
+        d = int(rng.integers(-20, 40))
+        assert licenses.align(doc, template, d)[0] <= licenses.reach(doc, template, d)
+
+
 def test_banded_alignment_finds_planted_stretches():
     import numpy as np
 
