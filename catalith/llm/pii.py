@@ -7,7 +7,10 @@ not seeds are candidates. Patterns and instances form a bipartite graph that
 is scored in rounds: a pattern by the confidence of the instances it stands
 beside (shrunk by its candidates and a prior), an instance by noisy-or of its
 patterns. Candidates that end above `accept`, through patterns with enough
-seeds, are added as spans unless they overlap one.
+seeds, are added as spans unless they overlap one; they then induce patterns as
+seeds do, and the graph is built and scored anew until nothing is added. An
+instance is one place of one distinct text: a value accepted in one place says
+nothing of its other places.
 
 Positions come from the lengths of what lies between matches, summed by a
 window over a text's matches. Patterns use possessive repeats, so that neither
@@ -107,30 +110,44 @@ def candidates(tokens: DataFrame) -> DataFrame:
 
 
 def discover(base: DataFrame, tokens: DataFrame, rounds: int = 3, prior: float = 3.0, accept: float = 0.9, least_seeds: int = 5) -> DataFrame:
-    """Candidates that the scored graph accepts: doc_id, digest, kind, start, end."""
-    place = ["doc_id", "digest", "start"]
-    known = base.select(*place, "kind").withColumn("seed", F.lit(1))
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*place, "kind"]]
-    unknown = candidates(tokens).alias("c").join(known.alias("k"), same, "left_anti")
+    """Candidates that the scored graph accepts: doc_id, digest, kind, start, end. Equal texts
+    count once. What is accepted induces patterns as seeds do, until nothing is added."""
+    place = ["digest", "start"]
+    base = base.dropDuplicates([*place, "kind"])
+    found = candidates(tokens)
+    unknown = found.dropDuplicates([*place, "kind"]).join(base.select(*place, "kind"), [*place, "kind"], "left_anti")
     columns = [*place, "end", "kind", "before", "after"]
-    instances = base.select(*columns, F.lit(1.0).alias("confidence"), F.lit(True).alias("seed")).unionByName(unknown.select(*columns, F.lit(0.0).alias("confidence"), F.lit(False).alias("seed")))
+    instances = base.select(*columns, F.lit(True).alias("seed")).unionByName(unknown.select(*columns, F.lit(False).alias("seed")))
     sides = F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"))
-    edges = cut(instances.select(*place, "end", "kind", "confidence", "seed", F.explode(sides).alias("pattern")).where("length(pattern) > 1"))
-    # A pattern matters only where it stands beside a candidate; seeds are summed for it once.
-    seeds = edges.where("seed").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds"))
-    open_edges = edges.where("NOT seed").drop("seed", "confidence")
-    load_ = open_edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("open"))
-    patterns = load_.join(seeds, ["kind", "pattern"]).where(F.col("seeds") >= least_seeds)
-    graph = cut(open_edges.join(patterns, ["kind", "pattern"]))
-    scored = graph.withColumn("confidence", F.lit(0.0))
-    for _ in range(rounds):
-        beside = scored.groupBy("kind", "pattern").agg(F.sum("confidence").alias("mass"))
-        weight = (F.col("seeds") + F.col("mass")) / (F.col("seeds") + F.col("open") + prior)
-        lit_up = graph.join(beside, ["kind", "pattern"]).withColumn("doubt", F.log1p(-F.least(weight, F.lit(0.999))))
-        level = lit_up.groupBy(*place, "end", "kind").agg((1 - F.exp(F.sum("doubt"))).alias("confidence"))
-        here = [F.col(f"g.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*place, "end", "kind"]]
-        scored = cut(graph.alias("g").join(level.alias("l"), here).select("g.*", "l.confidence"))
-    return scored.where(F.col("confidence") >= accept).select(*place, "end", "kind").distinct()
+    edges = cut(instances.select(*place, "end", "kind", "seed", F.explode(sides).alias("pattern")).where("length(pattern) > 1"))
+    spot = [*place, "end", "kind"]
+    meets = (F.col("n.digest") == F.col("b.digest")) & (F.col("n.start") < F.col("b.end")) & (F.col("b.start") < F.col("n.end"))
+    accepted = None
+    while True:
+        # A pattern matters only where it stands beside a candidate; seeds are summed for it once.
+        seeds = edges.where("seed").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds"))
+        open_edges = edges.where("NOT seed").drop("seed")
+        load_ = open_edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("open"))
+        patterns = load_.join(seeds, ["kind", "pattern"]).where(F.col("seeds") >= least_seeds)
+        graph = cut(open_edges.join(patterns, ["kind", "pattern"]))
+        scored = graph.withColumn("confidence", F.lit(0.0))
+        for _ in range(rounds):
+            beside = scored.groupBy("kind", "pattern").agg(F.sum("confidence").alias("mass"))
+            weight = (F.col("seeds") + F.col("mass")) / (F.col("seeds") + F.col("open") + prior)
+            lit_up = graph.join(beside, ["kind", "pattern"]).withColumn("doubt", F.log1p(-F.least(weight, F.lit(0.999))))
+            level = lit_up.groupBy(*spot).agg((1 - F.exp(F.sum("doubt"))).alias("confidence"))
+            scored = cut(graph.join(level, spot))
+        new = scored.where(F.col("confidence") >= accept).select(*spot).distinct()
+        new = cut(new.alias("n").join(base.alias("b"), meets, "left_anti"))
+        if new.isEmpty():
+            break
+        accepted = new if accepted is None else accepted.unionByName(new)
+        named = edges.join(new.withColumn("_new", F.lit(True)), spot, "left")
+        edges = cut(named.select(*spot, (F.col("seed") | F.coalesce("_new", F.lit(False))).alias("seed"), "pattern"))
+    columns = ["doc_id", *spot]
+    if accepted is None:
+        return found.select(columns).limit(0)
+    return found.select(columns).join(accepted, spot, "left_semi").distinct()
 
 
 def pii(docs: DataFrame, rounds: int = 3, accept: float = 0.9) -> DataFrame:

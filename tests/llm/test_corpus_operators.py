@@ -101,6 +101,17 @@ def test_pii_learns_contexts(spark):
     assert got[41]["spans"] == ""
 
 
+def test_pii_learns_from_what_it_accepted_and_counts_copies_once(spark):
+    first = [f"please call +1 555 010 {i:04d} today" for i in range(60)]
+    second = [f"please call 555-010-44{i:02d} swiftly" for i in range(10)] + [f"hotline 555-020-44{i:02d} today" for i in range(10)]
+    third = "hotline 555-030-4477 swiftly"
+    copied = "please call 555-040-4477 today"
+    texts = [*first, *second, third, *[copied] * 300]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["n_added"] for r in pii.pii(docs, accept=0.7).collect()}
+    assert [i for i in range(60, len(texts)) if got[i] != 1] == [] and not any(got[i] for i in range(60))
+
+
 def tiling(doc, item, least=5):
     """Greedy string tiling by its definition."""
     marked_doc, marked_item, covered = set(), set(), 0
