@@ -2,19 +2,22 @@
 
 Four kinds are matched by fixed patterns in every whole text; the valid matches
 are the base and the seeds. Seeds induce lexical patterns: the word before and
-the word after, for each kind. Identifier-like tokens of the same kind that are
-not seeds are candidates. Patterns and instances form a bipartite graph that
-is scored in rounds: a pattern by the confidence of the instances it stands
-beside (shrunk by its candidates and a prior), an instance by noisy-or of its
-patterns. Candidates that end above `accept`, through patterns with enough
-seeds, are added as spans unless they overlap one; they then induce patterns as
-seeds do, and the graph is built and scored anew until nothing is added. An
-instance is one place of one distinct text: a value accepted in one place says
-nothing of its other places.
+the word after, for each kind. Identifier-like tokens that overlap no base match
+are candidates. An instance is a kind and a normalised value, wherever it stands:
+all its places, in all texts, bring their patterns to it. Patterns and instances
+form a bipartite graph of distinct edges that is scored in rounds: a pattern by
+the confidence of the instances it stands beside (shrunk by its candidates and a
+prior), an instance by noisy-or of its patterns. Instances that end above
+`accept`, through patterns with enough seeds, are taken; they then induce
+patterns as seeds do, and the graph is built and scored anew until nothing is
+added. A candidate whose value is that of a seed is taken too. Spans are added at
+the places of taken values that stand beside a pattern of the graph or, with
+`everywhere`, at all their places.
 
 Positions come from the lengths of what lies between matches, summed by a
-window over a text's matches. Patterns use possessive repeats, so that neither
-time nor stack grows with the square of a long run.
+window over a text's matches. Patterns use possessive repeats, and words are
+looked for from the near end, so that neither time nor stack grows with the
+square of a long run. No length of a token or a context is limited.
 
 Defined results: null texts are empty; texts without matches have zero counts,
 an empty span list and its digest; a null doc_id is kept; repeated rows give
@@ -46,8 +49,7 @@ SHAPES = {
     "phone": r"^\(?[0-9](?:[().-]?[0-9]){8,10}$",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-AROUND = 80
-WORD_BEFORE, WORD_AFTER = r"([^\s\p{Punct}]+)[\s\p{Punct}]*$", r"^[\s\p{Punct}]*([^\s\p{Punct}]+)"
+NEXT_WORD = r"^[\s\p{Punct}]*+([^\s\p{Punct}]++)"
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,11 +72,13 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
-def _contexts(kind: str, between: Column, found: Column) -> Column:
-    """For each match: kind, value, characters since the match before, and what surrounds it."""
+def _contexts(between: Column, found: Column) -> Column:
+    """For each match: value, characters since the match before, and the words around it."""
     n = F.size(found)
-    one = F.zip_with(found, F.slice(between, 1, n), lambda v, b: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.length(b).alias("gap"), F.right(b, F.lit(AROUND)).alias("before")))
-    return F.zip_with(one, F.slice(between, 2, n), lambda s, a: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), s["gap"].alias("gap"), s["before"].alias("before"), F.left(a, F.lit(AROUND)).alias("after")))
+    word = lambda x: F.lower(F.regexp_extract(x, NEXT_WORD, 1))
+    gaps = F.transform(between, lambda b: F.struct(F.length(b).alias("gap"), F.reverse(word(F.reverse(b))).alias("last"), word(b).alias("first")))
+    one = F.zip_with(found, F.slice(gaps, 1, n), lambda v, g: F.struct(v.alias("value"), g["gap"].alias("gap"), g["last"].alias("before")))
+    return F.zip_with(one, F.slice(gaps, 2, n), lambda m, g: F.struct(m["value"].alias("value"), m["gap"].alias("gap"), m["before"].alias("before"), g["first"].alias("after")))
 
 
 def _base_of(kind: str):
@@ -83,83 +87,95 @@ def _base_of(kind: str):
 
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, digest, kind ("token" for candidates), start, end, value, before, after:
-    every match of every pattern in every distinct text of an id."""
-    text = F.col("t")
+    every match of every pattern in every distinct text of an id. A row holds the pieces
+    of one pattern at a time."""
+    text, kind = F.col("t"), F.col("kind")
+    patterns = {**BASE, "token": TOKEN}
     guards = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+"), "token": text.rlike("[0-9@]")}
-    parts = {}
-    for kind, pattern in {**BASE, "token": TOKEN}.items():
-        parts[f"p_{kind}"] = F.when(guards[kind], F.split("t", pattern, -1)).otherwise(F.array(F.lit("")))
-        parts[f"x_{kind}"] = F.when(guards[kind], F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    split = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.xxhash64("t").alias("digest"), *[v.alias(k) for k, v in parts.items()])
-    found = [_contexts(kind, F.col(f"p_{kind}"), F.col(f"x_{kind}")) for kind in (*BASE, "token")]
-    rows = split.select("doc_id", "digest", F.posexplode(F.concat(*found)).alias("i", "m")).select("doc_id", "digest", "i", "m.*")
-    rows = rows.dropDuplicates(["doc_id", "digest", "i"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("digest", F.xxhash64("t"))
+    each = texts.select("doc_id", "digest", "t", F.explode(F.array_compact(F.array(*[F.when(guards[k], F.lit(k)) for k in patterns]))).alias("kind"))
+    by_kind = lambda f: F.coalesce(*[F.when(kind == k, f(p)) for k, p in patterns.items()])
+    split = each.select("doc_id", "digest", "kind", by_kind(lambda p: F.split("t", p, -1)).alias("between"), by_kind(lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))).alias("found"))
+    rows = split.select("doc_id", "digest", "kind", F.posexplode(_contexts(F.col("between"), F.col("found"))).alias("i", "m")).select("doc_id", "digest", "kind", "i", "m.*")
+    rows = rows.dropDuplicates(["doc_id", "digest", "kind", "i"])
     along = W.partitionBy("doc_id", "digest", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     size = F.length("value")
     end = F.sum(F.col("gap") + size).over(along)
-    return rows.select("doc_id", "digest", "kind", (end - size).alias("start"), end.alias("end"), "value", F.lower(F.regexp_extract("before", WORD_BEFORE, 1)).alias("before"), F.lower(F.regexp_extract("after", WORD_AFTER, 1)).alias("after"))
+    return rows.select("doc_id", "digest", "kind", (end - size).alias("start"), end.alias("end"), "value", "before", "after")
 
 
 def candidates(tokens: DataFrame) -> DataFrame:
     """Tokens stripped of punctuation at their ends, with the kind whose shape they have."""
-    lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9(]*", 0))
-    core = F.regexp_extract("value", r"^[^A-Za-z0-9(]*(.*?)[^A-Za-z0-9]*$", 1)
+    head = F.regexp_replace("value", r"^[^A-Za-z0-9(]++", "")
+    core = F.reverse(F.regexp_replace(F.reverse(head), r"^[^A-Za-z0-9]++", ""))
     kind = F.coalesce(*[F.when(F.col("core").rlike(SHAPES[k]), F.lit(k)) for k in KINDS])
-    short = tokens.where(F.length("value") <= 100)  # the shapes are shorter than that
-    return short.select("doc_id", "digest", (F.col("start") + lead).alias("start"), core.alias("core"), "before", "after").withColumn("kind", kind).where("kind IS NOT NULL").withColumn("end", F.col("start") + F.length("core"))
-
-
-def discover(base: DataFrame, tokens: DataFrame, rounds: int = 3, prior: float = 3.0, accept: float = 0.9, least_seeds: int = 5) -> DataFrame:
-    """Candidates that the scored graph accepts: doc_id, digest, kind, start, end. Equal texts
-    count once. What is accepted induces patterns as seeds do, until nothing is added."""
-    place = ["digest", "start"]
-    base = base.dropDuplicates([*place, "kind"])
-    found = candidates(tokens)
-    unknown = found.dropDuplicates([*place, "kind"]).join(base.select(*place, "kind"), [*place, "kind"], "left_anti")
-    columns = [*place, "end", "kind", "before", "after"]
-    instances = base.select(*columns, F.lit(True).alias("seed")).unionByName(unknown.select(*columns, F.lit(False).alias("seed")))
-    sides = F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"))
-    edges = cut(instances.select(*place, "end", "kind", "seed", F.explode(sides).alias("pattern")).where("length(pattern) > 1"))
-    spot = [*place, "end", "kind"]
-    meets = (F.col("n.digest") == F.col("b.digest")) & (F.col("n.start") < F.col("b.end")) & (F.col("b.start") < F.col("n.end"))
-    accepted = None
+    start = F.col("start") + F.length("value") - F.length(head)
+    cut_ = tokens.select("doc_id", "digest", start.alias("start"), core.alias("core"), "before", "after").withColumn("kind", kind).where("kind IS NOT NULL")
+    return cut_.select("doc_id", "digest", "kind", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("value"), "before", "after")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """Base matches and the candidates that overlap none, as doc_id, digest, kind, start, end,
+    value (normalised), before, after, base. One pass along each text."""
+    base = found.where("kind <> 'token'").withColumn("base", F.lit(True))
+    both = base.unionByName(candidates(found.where("kind = 'token'")).withColumn("base", F.lit(False)))
+    along = W.partitionBy("doc_id", "digest").orderBy("start", F.desc("base"))
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(along.rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(along.rowsBetween(1, W.unboundedFollowing))
+    value = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
+    apart = F.col("base") | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.col("_after").isNull() | (F.col("_after") >= F.col("end"))))
+    return both.withColumns({"_before": before, "_after": after}).where(apart).drop("_before", "_after").withColumn("value", value)
+
+
+def discover(found: DataFrame, rounds: int = 3, prior: float = 3.0, accept: float = 0.9, least_seeds: int = 5, everywhere: bool = False) -> DataFrame:
+    """The places of `found` (see places) whose values the scored graph takes: doc_id, digest,
+    kind, start, end. What is taken induces patterns as seeds do, until nothing is added."""
+    spot = ["doc_id", "digest", "kind", "start", "end"]
+    instance, edge = ["kind", "value"], ["kind", "pattern"]
+    sides = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(mark), F.col(c))) for c, mark in (("before", "<"), ("after", ">"))]))
+    beside = found.select(*spot, "value", "base", sides.alias("sides"))
+    # A place without words around it still tells whether its value is a seed.
+    named = beside.select(*instance, "base", F.explode_outer("sides").alias("pattern"))
+    seen = cut(named.groupBy(*instance, "pattern").agg(F.max("base").alias("base")))
+    vouched = seen.where("base").select(*instance).distinct().withColumn("seed", F.lit(True))
+    edges = seen.join(vouched, instance, "left").select(*instance, "pattern", F.coalesce("seed", F.lit(False)).alias("seed"))
+    taken = None
     while True:
+        known = edges.where("pattern IS NOT NULL")
         # A pattern matters only where it stands beside a candidate; seeds are summed for it once.
-        seeds = edges.where("seed").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds"))
-        open_edges = edges.where("NOT seed").drop("seed")
-        load_ = open_edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("open"))
-        patterns = load_.join(seeds, ["kind", "pattern"]).where(F.col("seeds") >= least_seeds)
-        graph = cut(open_edges.join(patterns, ["kind", "pattern"]))
+        sums = known.groupBy(*edge).agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("open"))
+        patterns = sums.where((F.col("open") > 0) & (F.col("seeds") >= least_seeds))
+        graph = cut(known.where("NOT seed").drop("seed").join(patterns, edge))
         scored = graph.withColumn("confidence", F.lit(0.0))
         for _ in range(rounds):
-            beside = scored.groupBy("kind", "pattern").agg(F.sum("confidence").alias("mass"))
+            mass = scored.groupBy(*edge).agg(F.sum("confidence").alias("mass"))
             weight = (F.col("seeds") + F.col("mass")) / (F.col("seeds") + F.col("open") + prior)
-            lit_up = graph.join(beside, ["kind", "pattern"]).withColumn("doubt", F.log1p(-F.least(weight, F.lit(0.999))))
-            level = lit_up.groupBy(*spot).agg((1 - F.exp(F.sum("doubt"))).alias("confidence"))
-            scored = cut(graph.join(level, spot))
-        new = scored.where(F.col("confidence") >= accept).select(*spot).distinct()
-        new = cut(new.alias("n").join(base.alias("b"), meets, "left_anti"))
+            lit_up = graph.join(mass, edge).withColumn("doubt", F.log1p(-F.least(weight, F.lit(0.999))))
+            level = lit_up.groupBy(*instance).agg((1 - F.exp(F.sum("doubt"))).alias("confidence"))
+            scored = graph.join(level, instance)
+        new = cut(level.where(F.col("confidence") >= accept).select(*instance))
         if new.isEmpty():
             break
-        accepted = new if accepted is None else accepted.unionByName(new)
-        named = edges.join(new.withColumn("_new", F.lit(True)), spot, "left")
-        edges = cut(named.select(*spot, (F.col("seed") | F.coalesce("_new", F.lit(False))).alias("seed"), "pattern"))
-    columns = ["doc_id", *spot]
-    if accepted is None:
-        return found.select(columns).limit(0)
-    return found.select(columns).join(accepted, spot, "left_semi").distinct()
-
-
-def pii(docs: DataFrame, rounds: int = 3, accept: float = 0.9) -> DataFrame:
+        of_new = graph.join(new, instance, "left_semi").select(*instance, "pattern")
+        taken = of_new if taken is None else taken.unionByName(of_new)
+        marked = edges.join(new.withColumn("_new", F.lit(True)), instance, "left")
+        edges = cut(marked.select(*instance, "pattern", (F.col("seed") | F.coalesce("_new", F.lit(False))).alias("seed")))
+    open_places = beside.where("NOT base")
+    if everywhere:
+        final = edges.where("seed").select(*instance).distinct()
+        return open_places.join(final, instance, "left_semi").select(spot)
+    if taken is None:
+        return open_places.select(spot).limit(0)
+    return open_places.select(*spot, "value", F.explode("sides").alias("pattern")).join(taken, [*instance, "pattern"], "left_semi").select(spot).distinct()
+
+
+def pii(docs: DataFrame, rounds: int = 3, accept: float = 0.9, everywhere: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone (base counts),
     base_sha256, spans (all), n_added."""
-    found = cut(matches(docs).where((F.col("kind") == "token") | _valid(F.col("kind"), F.col("value"))))
-    base = found.where("kind <> 'token'")
-    added = discover(base, found.where("kind = 'token'"), rounds, accept=accept)
-    meets = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    added = added.alias("a").join(base.alias("b"), meets, "left_anti")
+    found = cut(places(matches(docs).where((F.col("kind") == "token") | _valid(F.col("kind"), F.col("value")))))
     columns = ["doc_id", "digest", "kind", "start", "end"]
-    spans = base.select(*columns, F.lit(True).alias("base")).unionByName(added.select(*columns, F.lit(False).alias("base")))
+    added = discover(found, rounds, accept=accept, everywhere=everywhere)
+    spans = found.where("base").select(*columns, F.lit(True).alias("base")).unionByName(added.select(*columns, F.lit(False).alias("base")))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     by_doc = spans.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("o"), "end", "kind", "base"))).alias("s"))
@@ -179,4 +195,4 @@ def pii(docs: DataFrame, rounds: int = 3, accept: float = 0.9) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pii(load(spark, sf_dir, "documents"))
+    return pii(load(spark, sf_dir, "documents"), everywhere=True)

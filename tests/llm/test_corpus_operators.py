@@ -378,3 +378,86 @@ def test_lm_probabilities_sum_to_one():
 
     weights = lm_score.learn_weights(np.array([[3, -20, -8], [0, -12, lm_score.ZERO], [3, lm_score.ZERO, lm_score.ZERO]]), np.array([10, 4, 2]), 50)
     assert np.allclose(weights.sum(1), 1) and weights[0, 2] < 1e-6 and (weights >= 0).all()
+
+
+def discovered(texts, accept, rounds=3, prior=3.0, least=5):
+    """Places (text number, kind, start, end) that bootstrapping adds, each with all places of its value, in plain Python."""
+    import math
+    import re
+    import string
+
+    base = {i: brute.pii(t) for i, t in enumerate(texts)}
+    norm = lambda kind, v: re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v.lower()
+    spots = []
+    for i, t in enumerate(texts):
+        found = [(kind, a, b, True) for kind, a, b in base[i]]
+        for m in re.finditer(r"\S+", t):
+            if re.search("[0-9@]", m[0]):
+                head = re.sub("^[^A-Za-z0-9(]+", "", m[0])
+                core = re.sub("[^A-Za-z0-9]+$", "", head)
+                kind = next((k for k in pii.KINDS if re.search(pii.SHAPES[k], core)), None)
+                a = m.end() - len(head)
+                if kind and not any(x < a + len(core) and a < y for _, x, y in base[i]):
+                    spots.append((i, kind, a, a + len(core), False, (m.start(), m.end())))
+        spots += [(i, kind, a, b, True, (a, b)) for kind, a, b, _ in found]
+    gap = r"[\s%s]" % re.escape(string.punctuation)
+    word = r"[^\s%s]+" % re.escape(string.punctuation)
+    sides = {}
+    for i, kind, a, b, is_base, (x, y) in spots:
+        same = sorted(s[5] for s in spots if s[0] == i and (s[4] and s[1] == kind if is_base else not s[4])) if is_base else [m.span() for m in re.finditer(r"\S*[0-9@]\S*", texts[i])]
+        left, right = texts[i][max([q for _, q in same if q <= x], default=0) : x], texts[i][y : min([p for p, _ in same if p >= y], default=len(texts[i]))]
+        l, r = re.search(f"({word}){gap}*$", left), re.search(f"^{gap}*({word})", right)
+        sides[i, kind, a, b] = ([f"<{l[1].lower()}"] if l else []) + ([f">{r[1].lower()}"] if r else [])
+    value = {s[:4]: (s[1], norm(s[1], texts[s[0]][s[2] : s[3]])) for s in spots}
+    seeds = {value[s[:4]] for s in spots if s[4]}
+    edges = {(value[s[:4]], p) for s in spots for p in sides[s[:4]]}
+    while True:
+        at = defaultdict(set)
+        for v, p in edges:
+            at[v[0], p].add(v)
+        good = {k: (len(vs & seeds), len(vs - seeds)) for k, vs in at.items()}
+        good = {k: x for k, x in good.items() if x[0] >= least and x[1]}
+        graph = [(v, (v[0], p)) for v, p in edges if v not in seeds and (v[0], p) in good]
+        confidence = defaultdict(float)
+        for _ in range(rounds):
+            mass = defaultdict(float)
+            for v, k in graph:
+                mass[k] += confidence[v]
+            doubt = defaultdict(float)
+            for v, k in graph:
+                doubt[v] += math.log1p(-min((good[k][0] + mass[k]) / (sum(good[k]) + prior), 0.999))
+            confidence = defaultdict(float, {v: 1 - math.exp(d) for v, d in doubt.items()})
+        new = {v for v, c in confidence.items() if c >= accept}
+        if not new:
+            return {s[:4] for s in spots if not s[4] and value[s[:4]] in seeds}
+        seeds = seeds | new
+
+
+def test_pii_discovery_is_that_of_plain_python(spark):
+    rng = random.Random(8)
+    contexts = ["call", "ring", "sold", "mail", "visit", "box", "card", "pay"]
+    number = {"phone": lambda i: f"+1 555 {i:07d}", "open": lambda i: f"555-{i % 1000:03d}-{i:04d}", "email": lambda i: f"user{i}@mail{i % 3}.org", "half": lambda i: f"user{i}@é{'y' * 130}.z", "ip": lambda i: f"10.0.{i % 256}.7", "dash": lambda i: f"10-0-{i % 99}-7", "plain": lambda i: str(i)}
+    texts = []
+    for i in range(260):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.choice(list(number))
+            usual = {"phone": "call", "open": "call", "email": "mail", "half": "mail", "ip": "visit", "dash": "visit", "plain": "sold"}[kind]
+            parts += [rng.choice([usual, usual, usual, *contexts]), number[kind](rng.randrange(40)), rng.choice(["today", "now", "Boxes", usual])]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r for r in pii.pii(docs, accept=0.6, everywhere=True).collect()}
+    want = discovered(texts, 0.6)
+    assert len(want) > 20 and any(b - a > 100 for _, _, a, b in want)
+    for i, t in enumerate(texts):
+        spans = {f"{k}:{a}:{b}" for k, a, b in brute.pii(t)} | {f"{k}:{a}:{b}" for j, k, a, b in want if j == i}
+        assert set(got[i]["spans"].split(",")) - {""} == spans, t
+
+
+def test_pii_values_vouch_for_all_their_places(spark, empty):
+    seeds = [f"please call +1 555 010 {i:04d} today" for i in range(40)]
+    texts = [*seeds, "please call 555-010-4477 today", "sold 555-010-4477 boxes", "sold 555-010-9999 boxes"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[41], None, None, None)] * 2, DOCS)
+    got = [(r["doc_id"], r["spans"]) for r in pii.pii(docs, accept=0.8, everywhere=True).collect()]
+    assert [s for d, s in got if d is None] == ["phone:5:17"] * 2 and dict(got)[41] == "phone:5:17" and dict(got)[42] == ""
+    assert pii.pii(empty).count() == 0
