@@ -8,8 +8,9 @@ with the scoring tasks. A Platt curve fitted on held-back rows turns raw sums
 into probabilities.
 
 Only rows whose id is outside fold 0 teach; the fit reads a bounded sample of
-the labelled rows (`max_rows`, chosen by a hash of the id). Scores read the
-text alone and cover every whole text.
+the labelled rows (`max_rows` rows and `max_bytes` of text, chosen by hashes), in
+one task; the driver holds no more than the weights. Scores read the text alone
+and cover every whole text.
 
 Defined results: null, empty and word-less texts get the score of the constant
 feature; several labels of one id count as their mean; null labels and labels
@@ -26,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from catalith.llm import text as T
-from catalith.llm.common import fold, load
+from catalith.llm.common import bounded, fold, load
 from catalith.llm.ftrl import Ftrl, platt
 
 BITS, STEM = 20, 4
@@ -82,21 +83,42 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, alpha: float = 0.5, l1: floa
     return {"at": at, "weights": weights[at], "slope": slope, "shift": shift, "only": None}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict:
-    """Fit on at most about max_rows labelled documents outside fold 0. The sample of
-    labels is bounded by max_rows, so it is broadcast to the scan of the texts."""
+MODEL = "only double, at binary, weights binary, slope double, shift double"
+
+
+def _fit_rows(batches):
+    """The whole sample, (doc_id, text, toxic) rows, to one row with the model."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+    toxic = table.column("toxic").to_numpy()
+    if len(np.unique(toxic >= 0.5)) < 2:
+        model = {"only": float(toxic[0] >= 0.5), "at": b"", "weights": b"", "slope": 1.0, "shift": 0.0}
+    else:
+        model = fit(table.column("text"), toxic)
+        model = model | {"at": model["at"].astype("<i4").tobytes(), "weights": model["weights"].astype("<f8").tobytes()}
+    kinds = [pa.float64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    names = [x.split()[0] for x in MODEL.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array([model[n]], t) for n, t in zip(names, kinds, strict=True)], names=names)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes: int = 64 << 20) -> dict:
+    """Fit on at most max_rows labelled documents outside fold 0, of at most max_bytes of text.
+    The sample of labels holds about max_rows ids, so it is broadcast to the scan of the texts."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where(fold() != 0)
     n = known.count()
-    share = min(1.0, max_rows / max(n, 1))
+    if not n:
+        return {"only": 0.0}
+    share = min(1.0, max_rows / n)
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    table = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toArrow() if n else None
-    if table is None or not table.num_rows:
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    found = bounded(texts, max_rows, max_bytes, "doc_id").coalesce(1).mapInArrow(_fit_rows, MODEL).collect()  # one row
+    if not found:
         return {"only": 0.0}
-    table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending")]))
-    toxic = table.column("toxic").to_numpy()
-    if len(np.unique(toxic >= 0.5)) < 2:
-        return {"only": float(toxic[0] >= 0.5)}
-    return fit(table.column("text"), toxic)
+    model = found[0].asDict()
+    return model | {"at": np.frombuffer(model["at"], "<i4").astype(np.int64), "weights": np.frombuffer(model["weights"], "<f8")}
 
 
 def _scorer(model: dict):
