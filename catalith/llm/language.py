@@ -7,9 +7,11 @@ frequency. Follow-the-regularised-leader with an elastic net learns one weight
 vector for each language, and a temperature fitted on held-back rows calibrates
 the probabilities.
 
-Only documents outside fold 0 teach, by text and lang alone; the fit (document
-frequencies included) reads a bounded sample of them (`max_rows`, chosen by a
-hash of the id). Predictions read the text alone and cover every whole text.
+Only documents outside fold 0 teach, by text and lang alone. Document frequencies
+cover all of them; the fit reads a bounded sample (`max_rows` rows and `max_bytes`
+of text, chosen by hashes) in which every language has an equal quota, so that
+rare ones are taken whole. The fit runs in one task; the driver holds no more than
+the weights. Predictions read the text alone and cover every whole text.
 
 Defined results: `und` with score 1 for a null text and for one without
 letters; with nothing to learn from every text is `und` with score 0; a single
@@ -29,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from catalith.llm import text as T
-from catalith.llm.common import fold, load
+from catalith.llm.common import bounded, fold, load
 from catalith.llm.ftrl import Ftrl
 
 BITS, LONGEST, SCALE = 18, 3, 40.0
@@ -76,7 +78,8 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray,
     return out, count
 
 
-def fit(texts: pa.ChunkedArray, langs: list[str], alpha: float = 0.3, l1: float = 0.3, l2: float = 0.3, rounds: int = 3, least: int = 2, seed: int = 5) -> dict:
+def fit(texts: pa.ChunkedArray, langs: list[str], often: np.ndarray, teachers: int, alpha: float = 0.3, l1: float = 0.3, l2: float = 0.3, rounds: int = 3, least: int = 2, seed: int = 5) -> dict:
+    """Learn from a sample; `often` tells how many of all `teachers` documents hold each coordinate."""
     names = sorted(set(langs))
     target = np.eye(len(names))[[names.index(x) for x in langs]]
     examples: list[tuple[np.ndarray, np.ndarray]] = []
@@ -90,11 +93,15 @@ def fit(texts: pa.ChunkedArray, langs: list[str], alpha: float = 0.3, l1: float
             for i in range(hi - lo):
                 t = times[bounds[i] : bounds[i + 1]]
                 examples.append(((both[bounds[i] : bounds[i + 1]] & int(MASK)).astype(np.int32), (t / max(1, t.sum())).astype(np.float32)))
-    often = np.zeros(1 << BITS)
+    here = np.zeros(1 << BITS, bool)
     for at, _ in examples:
-        often[at] += 1
-    idf = np.where(often >= least, np.log((1 + len(examples)) / (1 + often)) + 1, 0) * SCALE
-    model, order = Ftrl(1 << BITS, len(names), alpha=alpha, l1=l1, l2=l2), np.random.default_rng(seed)
+        here[at] = True
+    known = np.flatnonzero(here & (often >= least))
+    place = np.full(1 << BITS, -1)  # weights are kept for what the sample holds
+    place[known] = np.arange(len(known))
+    idf = (np.log((1 + teachers) / (1 + often[known])) + 1) * SCALE
+    examples = [(place[at[keep]], tf[keep]) for at, tf in examples for keep in [place[at] >= 0]]
+    model, order = Ftrl(len(known), len(names), alpha=alpha, l1=l1, l2=l2), np.random.default_rng(seed)
     back = np.arange(len(examples)) % 10 == 9
     for _ in range(rounds):
         for i in order.permutation(np.flatnonzero(~back)):
@@ -104,7 +111,7 @@ def fit(texts: pa.ChunkedArray, langs: list[str], alpha: float = 0.3, l1: float
     table = model.weights() * idf[:, None]
     raw = np.array([tf @ table[at] for at, tf in (examples[i] for i in np.flatnonzero(back))]).reshape(-1, len(names))
     at = np.flatnonzero(np.abs(table).sum(1))
-    return {"names": names, "at": at, "table": table[at].astype(np.float32), "temperature": temperature(raw, target[back])}
+    return {"names": names, "at": known[at], "table": table[at].astype(np.float32), "temperature": temperature(raw, target[back])}
 
 
 def temperature(raw: np.ndarray, target: np.ndarray) -> float:
@@ -120,16 +127,65 @@ def temperature(raw: np.ndarray, target: np.ndarray) -> float:
     return best[1]
 
 
-def train(docs: DataFrame, max_rows: int = 8_000) -> dict | None:
-    """Fit on at most about max_rows documents outside fold 0 with a lang; None without any."""
+def _frequencies(batches):
+    """One row (at, docs) for each coordinate: how many of the partition's texts hold it."""
+    often, place = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int32)
+    for batch in batches:
+        raw, offsets = T.flat(batch.column(0))
+        for lo, hi in T.slices(offsets):
+            found, _ = grams(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            bounds = [np.searchsorted(row, np.arange(hi - lo + 1)).tolist() for _, row in found]
+            for i in range(hi - lo):
+                at = np.concatenate([x[b[i] : b[i + 1]] for (x, _), b in zip(found, bounds, strict=True)] or [np.zeros(0, np.int64)])
+                nth = np.arange(len(at), dtype=np.int32)
+                place[at] = nth  # of equal coordinates one remains
+                often[at[place[at] == nth]] += 1
+    at = np.flatnonzero(often)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(often[at])], names=["at", "docs"])
+
+
+def quota(counts: list[int], most: int) -> int:
+    """The largest q for which the sum of min(count, q) stays within most."""
+    left, rest = most, sorted(counts)
+    for i, n in enumerate(rest):
+        if n * (len(rest) - i) > left:
+            return left // (len(rest) - i)
+        left -= n
+    return max(rest, default=0)
+
+
+def _fit_rows(often: np.ndarray, teachers: int):
+    def each(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")]))
+        model = fit(table.column("text"), table.column("lang").to_pylist(), often, teachers)
+        columns = [pa.array([model["names"]]), pa.array([model["at"].astype("<i4").tobytes()]), pa.array([model["table"].astype("<f4").tobytes()]), pa.array([model["temperature"]])]
+        yield pa.RecordBatch.from_arrays(columns, names=["names", "at", "table", "temperature"])
+
+    return each
+
+
+def train(docs: DataFrame, max_rows: int = 8_000, max_bytes: int = 64 << 20) -> dict | None:
+    """Fit on at most max_rows documents outside fold 0 with a lang, of at most max_bytes of
+    text; None without any. The languages must be few enough for a weight of each."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    n = known.select("doc_id").count()
-    share = min(1.0, max_rows / max(n, 1))
-    table = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow() if n else None
-    if table is None or not table.num_rows:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
+    if not counts:
+        return None
+    each = quota(list(counts.values()), max_rows)
+    cells = known.select("text").mapInArrow(_frequencies, "at int, docs long").groupBy("at").agg(F.sum("docs").alias("docs")).toArrow()  # at most 2**BITS rows
+    often = np.zeros(1 << BITS)
+    often[np.asarray(cells.column("at"))] = np.asarray(cells.column("docs"))
+    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(max(1, int(min(1.0, each / n) * (1 << 30))))) for name, n in counts.items()])
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
+    rows = bounded(sample, max_rows, max_bytes, "doc_id").coalesce(1).mapInArrow(_fit_rows(often, sum(counts.values())), "names array<string>, at binary, table binary, temperature double").collect()  # one row
+    if not rows:
         return None
-    table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending")]))
-    return fit(table.column("text"), table.column("lang").to_pylist())
+    model = rows[0].asDict()
+    return model | {"at": np.frombuffer(model["at"], "<i4").astype(np.int64), "table": np.frombuffer(model["table"], "<f4").reshape(-1, len(model["names"]))}
 
 
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
