@@ -6,9 +6,10 @@ fits carries that rule's verdict as its label. Every URL that no rule fits
 gets the trees' verdict.
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy,
-parameter counts, and statistics of the host's suffix (how often it occurs,
-and its smoothed share of blocked labels). Suffix counts cover all labelled
-URLs; the trees are fitted on a bounded sample of them (`max_rows`).
+parameter counts, and statistics of the host's suffix: how often it occurs among
+all URLs, and its smoothed share of blocked labels among all labelled URLs. A row
+that teaches has the share of the other folds' labels, so no label is a feature of
+its own row. The trees are fitted on a bounded sample of the labelled (`max_rows`).
 
 Defined results: a null URL or one without "://" has an empty host and path
 and no rule; with no labelled URL of one of the two classes there is nothing
@@ -26,6 +27,7 @@ from catalith.llm.common import load
 
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_parameters", "f_hyphens", "f_query", "f_suffix_count", "f_suffix_block"]
 
@@ -80,15 +82,19 @@ def lexical(urls: DataFrame, url: str) -> DataFrame:
     })
 
 
-def suffix_statistics(labelled: DataFrame, prior: float = 8.0) -> DataFrame:
-    """For each host suffix: log count and the share of blocked labels, shrunk to one half."""
-    n, bad = F.count(F.lit(1)), F.sum(F.col("label"))
-    return labelled.groupBy("suffix").agg(F.log1p(n).alias("f_suffix_count"), ((bad + prior / 2) / (n + prior)).alias("f_suffix_block"))
+def suffix_statistics(features: DataFrame, prior: float = 8.0) -> DataFrame:
+    """For each host suffix and each fold of URLs (FOLDS: none left out): log count among all
+    URLs, and the share of blocked labels outside the fold, shrunk to one half."""
+    sums = [F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")]
+    folds = features.groupBy("suffix", "fold").agg(*sums)
+    total = folds.groupBy("suffix").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")])
+    every = folds.select("suffix", "fold", "known", "bad").unionByName(total.select("suffix", F.lit(FOLDS).alias("fold"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("bad")))
+    known, bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
+    return every.join(total, "suffix").select("suffix", "fold", F.log1p("all_n").alias("f_suffix_count"), ((bad + prior / 2) / (known + prior)).alias("f_suffix_block"))
 
 
 def with_suffix(features: DataFrame, statistics: DataFrame) -> DataFrame:
-    joined = features.join(statistics, "suffix", "left")
-    return joined.fillna({"f_suffix_count": 0.0, "f_suffix_block": 0.5})
+    return features.join(statistics, ["suffix", "fold"])
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
@@ -98,21 +104,24 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     max_rows bounds, in expectation, the labelled URLs that the trees are grown
     on; they are chosen by a hash of the URL. Everything else covers all rows."""
     urls = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("url")).withColumns({"host": host_of("url"), "path": path_of("url")})
-    features = lexical(apply_rules(urls, rules), "url")
-    labelled = features.where(F.col("rule").isNotNull()).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    features = lexical(apply_rules(urls, rules), "url").withColumns({
+        "label": (F.col("rule_verdict") == "block").cast("double"),
+        "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"),
+    })
+    labelled = features.where(F.col("rule").isNotNull())
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows at most
     out = [id_col, "host", "path", "rule", "verdict", "score"]
     if len(counts) < 2:
         only = "block" if 1.0 in counts else "allow"
         return features.withColumns({"verdict": F.coalesce("rule_verdict", F.lit(only)), "score": F.lit(None).cast("double")}).select(out)
-    statistics = suffix_statistics(labelled)
+    statistics = suffix_statistics(features)
     share = min(1.0, max_rows / sum(counts.values()))
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = labelled.where(F.pmod(F.xxhash64("url", F.lit("teach")), F.lit(1_000_000)) < int(share * 1_000_000))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all").fit(vector.transform(with_suffix(sample, statistics)).select("features", "label"))
     from pyspark.ml.functions import vector_to_array
 
-    judged = model.transform(vector.transform(with_suffix(features, statistics)))
+    judged = model.transform(vector.transform(with_suffix(features.withColumn("fold", F.lit(FOLDS)), statistics)))
     score = vector_to_array("probability")[1]
     return judged.withColumns({"score": score, "verdict": F.coalesce("rule_verdict", F.when(score >= 0.5, "block").otherwise("allow"))}).select(out)
 
