@@ -10,7 +10,9 @@ a batch leaves over goes into windows of powers of two, which need no padding.
 
 Tokens are those of whole texts: words between ASCII white space are tokenised
 apart (the tokenizer never joins what white space parts) and looked up in a
-table of bounded size.
+table of bounded size. The tokenizer lower-cases, so words are looked up in lower
+case; words that hold one of its added tokens in any case are not, as it takes
+those only as they are spelt.
 
 Defined results: null and empty texts are the end id alone; rows with a null id
 are packed like others; repeated rows are packed one by one; extra columns are
@@ -49,6 +51,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -61,7 +64,10 @@ class Words:
 
     def ids(self, raw: bytes, end: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of one text, and the end id."""
-        words = CLOSED.sub(rb" \1", raw.lower()).split()
+        low = raw.lower()
+        if any(token in low for token in self.added):  # rare: word by word
+            low = b" ".join([w if any(token in w.lower() for token in self.added) else w.lower() for w in raw.split()])
+        words = CLOSED.sub(rb" \1", low).split()
         out = []
         for at in range(0, len(words), REMEMBER // 4):  # a text may have more words than are remembered
             part = words[at : at + REMEMBER // 4]
