@@ -60,14 +60,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns; of repeated rows one. The kept ids are found
-    on narrow columns; the texts move once, dealt by id, so no hot group moves with its texts."""
-    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keys = {"_key": F.coalesce("_id", F.xxhash64("_sha")), "_none": F.col("_id").isNull()}
-    rows = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(normalised(text_col), 256)})
-    on = ["_key", "_none", "_sha"]
-    kept = rows.withColumns(keys).drop("_id").join(stays.withColumns(keys).drop("_id").hint("shuffle_hash"), on)
-    return kept.dropDuplicates(on).select(docs.columns)
+    """The rows of docs that stay, all columns, whatever their names; of repeated rows one. The
+    kept ids are found on narrow columns; the texts move once, dealt by id, so no hot group
+    moves with its texts."""
+    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    keys = {"key": F.coalesce("id", F.xxhash64("sha")), "none": F.col("id").isNull()}
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha"))
+    on = ["key", "none", "sha"]
+    kept = rows.withColumns(keys).drop("id").join(stays.withColumns(keys).drop("id").hint("shuffle_hash"), on)
+    return kept.dropDuplicates(on).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

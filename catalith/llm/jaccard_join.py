@@ -332,7 +332,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its class; rows with a null
     id stay. Only ids that go are joined to the texts."""
     go = jaccard_classes(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(go.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(go.withColumnRenamed("doc_id", "go").hint("shuffle_hash"), docs["doc_id"] == F.col("go"), "left_anti")
 
 
 #: The SQL compares all pairs that share a shingle; it is meant for small tables.
