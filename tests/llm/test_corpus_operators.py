@@ -31,7 +31,7 @@ def near_copies(seed=3, clusters=6, size=12):
     return texts
 
 
-AWKWARD = [None, "", " \t\n", "one", "Two  words", "two WORDS", "é ñ ß", "x" * 5000, "+" * 300, "1.2.3.4" + ".5" * 400, "a@" + "b." * 3000 + "c", "9" * 3000, " ".join(["word"] * 4000), "İstanbul straße 𝒳𝒴 日本語"]
+AWKWARD = [None, "", " \t\n", "one", "Two  words", "two WORDS", "é ñ ß", "x" * 5000, "+" * 300, "1.2.3.4" + ".5" * 400, "a@" + "b." * 3000 + "c", "9" * 3000, " ".join(["word"] * 4000), "İstanbul straße 𝒳𝒴 日本語", "a <|ENDOFTEXT|> b, x<|StartOfText|>. And <|endoftext|>Y <|startoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -461,3 +461,152 @@ def test_pii_values_vouch_for_all_their_places(spark, empty):
     got = [(r["doc_id"], r["spans"]) for r in pii.pii(docs, accept=0.8, everywhere=True).collect()]
     assert [s for d, s in got if d is None] == ["phone:5:17"] * 2 and dict(got)[41] == "phone:5:17" and dict(got)[42] == ""
     assert pii.pii(empty).count() == 0
+
+
+def plain_ftrl(examples, targets, order, alpha, l1, l2, beta=1.0):
+    """FTRL-proximal with dictionaries: {feature: [weight of each class]} after the examples in order."""
+    import math
+
+    k = len(targets[0])
+    z, n = defaultdict(lambda: [0.0] * k), defaultdict(lambda: [0.0] * k)
+
+    def weight(f):
+        return [0.0 if abs(a) <= l1 else (math.copysign(l1, a) - a) / ((beta + math.sqrt(b)) / alpha + l2) for a, b in zip(z[f], n[f], strict=True)]
+
+    for i in order:
+        w = {f: weight(f) for f in examples[i]}
+        raw = [sum(v * w[f][c] for f, v in examples[i].items()) for c in range(k)]
+        if k == 1:
+            p = [1 / (1 + math.exp(-raw[0]))]
+        else:
+            e = [math.exp(x - max(raw)) for x in raw]
+            p = [x / sum(e) for x in e]
+        for f, v in examples[i].items():
+            for c in range(k):
+                g = v * (p[c] - targets[i][c])
+                z[f][c] += g - (math.sqrt(n[f][c] + g * g) - math.sqrt(n[f][c])) / alpha * w[f][c]
+                n[f][c] += g * g
+    return {f: weight(f) for f in list(z)}
+
+
+def test_toxicity_is_that_of_a_plain_learner(spark):
+    import math
+    import re
+
+    rng = random.Random(6)
+    vocabulary = [a + b for a in ("bad", "nice", "gut", "so") for b in ("a", "bc", "def")]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice((4, 12))]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    labels = [int("bad" in t) if rng.random() < 0.95 else rng.randint(0, 1) for t in texts]
+
+    def features(text):
+        w = re.findall("[a-z0-9]+", text.lower())
+        return {("word", x) for x in w} | {("stem", x[:4]) for x in w} | set(zip(w, w[1:])) | {("skip", *x) for x in zip(w, w[2:])} | {"always"}  # noqa: B905
+
+    teach = [i for i in range(300) if brute.fold(i) != 0]
+    sets = [features(texts[i]) for i in teach]
+    examples = [{f: 1.0 for f in s if sum(f in x for x in sets) >= 3} for s in sets]
+    fitted = [i for i in range(len(teach)) if i % 10 != 9]
+    order = np.random.default_rng(11)
+    w = plain_ftrl(examples, [[labels[i]] for i in teach], [i for _ in range(3) for i in order.permutation(fitted)], 0.5, 5.0, 0.1)
+    raw = lambda s: sum(w[f][0] for f in s if f in w)
+    a, b = 1.0, 0.0
+    held = [(raw(examples[i]), labels[teach[i]]) for i in range(len(teach)) if i % 10 == 9]
+    slope, shift = toxicity.platt(np.array([x for x, _ in held]), np.array([float(y) for _, y in held]))
+    loss = lambda a, b: sum(math.log1p(math.exp(-(2 * y - 1) * (a * x + b))) for x, y in held) + 5e-4 * (a - 1) ** 2
+    assert all(loss(slope, shift) <= loss(slope + da, shift + db) + 1e-9 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = toxicity.toxicity(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")).collect()
+    assert len({round(r["score"], 6) for r in got}) > 20
+    for r in got:
+        a = slope * raw(features(texts[r["doc_id"]])) + shift
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-a)), abs=1e-9) and r["held_out"] == (brute.fold(r["doc_id"]) == 0)
+
+
+def test_language_is_that_of_a_plain_learner(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    texts = [("" if i % 9 else "12 ") + " ".join("".join(rng.choice("abcd" if i % 3 else "cdef") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 8))).title() + "!" for i in range(240)]
+    langs = ["xx" if i % 3 else "yy" for i in range(240)]
+
+    def counted(text):
+        s = re.sub("[^a-z]+", " ", text.lower()).lstrip()
+        return Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+
+    teach = [i for i in range(240) if brute.fold(i) != 0]
+    grams = [counted(texts[i]) for i in teach]
+    often = Counter(g for c in grams for g in c)
+    idf = {g: (math.log((1 + len(teach)) / (1 + n)) + 1) * 40 for g, n in often.items() if n >= 2}
+    value = lambda c: {g: np.float32(n / sum(c.values())) * idf[g] for g, n in c.items() if g in idf}
+    examples = [value(c) for c in grams]
+    fitted = np.array([i for i in range(len(teach)) if i % 10 != 9])
+    order = np.random.default_rng(5)
+    target = [[float(langs[i] == x) for x in ("xx", "yy")] for i in teach]
+    w = plain_ftrl(examples, target, [i for _ in range(3) for i in order.permutation(fitted)], 0.3, 0.3, 0.3)
+    raw = lambda c: [sum(v * w[g][k] for g, v in value(c).items() if g in w) for k in (0, 1)]
+    held = [i for i in range(len(teach)) if i % 10 == 9]
+    t = language.temperature(np.array([raw(grams[i]) for i in held]), np.array([target[i] for i in held]))
+    docs = spark.createDataFrame([(i, x, lang, None, None) for i, (x, lang) in enumerate(zip(texts, langs, strict=True))], DOCS)
+    for r in language.language_id(docs).collect():
+        x, y = (v / t for v in raw(counted(texts[r["doc_id"]])))
+        p = 1 / (1 + math.exp(min(y - x, 700)))
+        assert r["score"] == pytest.approx(max(p, 1 - p), abs=1e-3) and r["lang_pred"] == ("xx" if p >= 0.5 else "yy")
+
+
+def test_language_quotas_take_rare_languages_whole(spark):
+    assert [language.quota(*x) for x in (([5, 5], 20), ([3000, 6], 100), ([10, 20, 30], 36), ([], 5))] == [5, 94, 13, 0]
+    rng = random.Random(2)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, make("abcdefg"), "en", None, None) for i in range(3000)] + [(5000 + i, make("mnopqrs"), "zz", None, None) for i in range(20)]
+    got = language.language_id(spark.createDataFrame(rows, DOCS), max_rows=100).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] >= 5000} == {"zz"} and {r["lang_pred"] for r in got if r["doc_id"] < 3000} == {"en"}
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    from catalith.llm.common import bounded
+
+    rows = spark.createDataFrame([(7, "x" * n) for n in range(1, 200)] + [(7, "x")] * 500, "doc_id long, text string")
+    assert bounded(rows, 50, 1 << 30).count() == 50
+    got = [len(r["text"]) for r in bounded(rows, 1000, 900).collect()]
+    assert got and sum(got) <= 900 and bounded(rows, 1000, 900).count() == len(got) and bounded(rows.where("length(text) = 150"), 9, 10).count() == 1
+
+
+def test_keep_first_takes_any_column_names(spark):
+    rows = [(1, "a b", 10, True, "k", "s"), (2, "a  b", 11, True, "k", "s"), (None, "a b", 12, False, "k", "s"), (None, None, 13, True, None, None), (None, "", 14, True, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, none boolean, key string, sha string")
+    got = exact_dedup.keep_first(docs)
+    assert got.columns == docs.columns and sorted(r["_id"] for r in got.collect())[0] == 10 and got.count() == 2
+
+
+def test_url_suffix_statistics_leave_the_own_fold_out(spark):
+    rows = [("com", 0, 1.0), ("com", 0, 0.0), ("com", 1, 1.0), ("com", 2, None), ("net", 3, None)]
+    got = {(r["suffix"], r["fold"]): (round(np.expm1(r["f_suffix_count"])), r["f_suffix_block"]) for r in url_filter.suffix_statistics(spark.createDataFrame(rows, "suffix string, fold int, label double"), prior=2.0).collect()}
+    assert got == {("com", 0): (4, 2 / 3), ("com", 1): (4, 2 / 4), ("com", 2): (4, 3 / 5), ("com", 5): (4, 3 / 5), ("net", 3): (1, 0.5), ("net", 5): (1, 0.5)}
+
+
+def test_url_features_and_rules_are_those_of_plain_python(spark):
+    import math
+
+    rng = random.Random(3)
+    hosts = ["com", "a.com", "example.com", "x.example.com", "example.net", "net", "b.NET", "org", "c-d.org", "io", ""]
+    urls = [f"{rng.choice(('http', 'ftp'))}://{rng.choice(hosts)}{rng.choice(('', '/', '/en/', '/en/7', '/de/8x', '/es/1-2', '/%C3'))}{rng.choice(('', '?a=1&b', '?', '#f', '?q#z'))}" for _ in range(300)] + [None, "", "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parts = pages.withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})
+    rows = {r["page_id"]: r for r in url_filter.lexical(url_filter.apply_rules(parts), "url").collect()}
+    for i, u in enumerate(urls):
+        host, path, u = "", "", u or ""
+        if "://" in u:
+            rest = u.split("://", 1)[1]
+            cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+            host, rest = rest[:cut].lower(), rest[cut:]
+            path = rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+        fits = [(r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        best = max(fits, key=lambda x: len(x[0]), default=(None, None))
+        r = rows[i]
+        assert (r["host"], r["path"], r["rule"], r["rule_verdict"]) == (host, path, *best), u
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u and ("#" not in u or u.find("?") < u.find("#")) else ""
+        entropy = -sum(u.count(c) / len(u) * math.log2(u.count(c) / len(u)) for c in set(u))
+        assert (r["f_length"], r["f_depth"], r["f_query"], r["f_parameters"]) == (len(u), u.count("/"), len(query), query.count("&") + 1 if query else 0)
+        assert r["f_entropy"] == pytest.approx(entropy, abs=1e-9) and r["f_digits"] == pytest.approx(sum(c in "0123456789" for c in u) / max(1, len(u)))
