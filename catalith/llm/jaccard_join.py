@@ -17,11 +17,16 @@ Documents link when num-in-common * 100 >= percent * size-of-union. The join
    size; the matrix holds shingles against blocks. From rare to frequent, a
    document asks a block only if one of the rarest shingles that it needs (prefix
    filter) is in the block's column;
-4. sends each document to the blocks it has to ask. There the number of its
-   shingles in the block's union bounds its overlap with every member; only
-   blocks that reach the bound are opened, and members are compared exactly.
-   A task reports links that join different classes so far, not all pairs;
-5. joins links to classes by large-star and small-star rounds.
+4. links the members of each block with each other, and then one leader of each
+   class so far with the other leaders of its group, as long as that halves their
+   number. So a group of thousands of copies becomes one class by comparing its
+   members with one of them, not with each other;
+5. sends each document to the blocks that hold a shingle of its prefix in a set of
+   another class. There the number of its shingles in the block's union bounds its
+   overlap with every member; only blocks that reach the bound are opened, and
+   members of other classes are compared exactly. So no link between classes is
+   lost, and a task reports links that join classes, not all pairs;
+6. joins links to classes by large-star and small-star rounds.
 
 Hot blocks are shared among tasks by splitting who asks them; hot shingles are
 combined within each batch before they are sent.
@@ -49,7 +54,7 @@ from catalith.llm.common import cut, id_range, load
 #: Sets up to SMALL ask about every shingle, longer ones about those in the lowest SENT of the
 #: hash range. Sets that may be partners of small ones send every shingle too.
 SMALL, SENT = 64, 0.3
-#: Bytes of text for each range of shingle hashes; shingles of a chunk; members of a block; documents that ask a block in one task.
+#: Bytes of text for each range of shingle hashes; shingles of a chunk and of a block; members of a block; documents that ask a block in one task.
 RANGE_BYTES, CHUNK, BLOCK, ASKING = 8 << 20, 1 << 20, 512, 1024
 EVERY = 0xFFFF
 
@@ -174,6 +179,7 @@ def _sets(k: int):
     names = ["node", "doc_id", "n", "tokens"]
 
     def each(batches):
+        seen: set[int] = set()  # repeated rows count once
         for batch in batches:
             ids, wanted = batch.column(0), np.array(batch.column(2).to_pylist(), object)
             raw, offsets = T.flat(batch.column(1))
@@ -183,11 +189,15 @@ def _sets(k: int):
                 full = np.flatnonzero((np.diff(bounds) > 0) & (np.array([x.tobytes() for x in digest], object) == wanted[lo:hi]))
                 if not len(full):
                     continue
+                mine = np.asarray(ids.slice(lo, hi - lo).take(pa.array(full)).cast(pa.int64()))
+                node = T.mix(mine.view(T.U) + T.mix(digest[full, 0] ^ T.mix(digest[full, 1])))
+                new = [i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))]
+                if not new:
+                    continue
+                full, mine, node = full[new], pa.array(mine[new]), node[new]
                 parts = [found[bounds[i] : bounds[i + 1]] for i in full]
                 sizes = np.array([len(x) for x in parts])
                 found, starts = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
-                mine = ids.slice(lo, hi - lo).take(pa.array(full)).cast(pa.int64())
-                node = T.mix(np.asarray(mine).view(T.U) + T.mix(digest[full, 0] ^ T.mix(digest[full, 1])))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), mine, pa.array(sizes, pa.int64()), T.blobs(found, starts)], names=names)
 
     return each
@@ -205,7 +215,7 @@ def _prefix(percent: int):
     def each(key, table: pa.Table, given: pa.Table) -> pa.Table:
         """The rarest shared shingles of each set that a partner has to have one of, and the
         most frequent one, which names its group."""
-        nodes, homes, out = [], [], []
+        nodes, homes, sizes, out = [], [], [], []
         if table.num_rows:
             sets = T.arrays(table.column("tokens").combine_chunks(), "<u8")
             counts, keys = counting.read(given, 1), np.unique(np.concatenate(sets))
@@ -218,7 +228,62 @@ def _prefix(percent: int):
                     out.append(ordered[:many])
                     nodes += [node] * many
                     homes += [int(ordered[-1].view(np.int64))] * many
-        return pa.table({"node": pa.array(nodes, pa.int64()), "home": pa.array(homes, pa.int64()), "token": pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())})
+                    sizes += [len(mine)] * many
+        return pa.table({"node": pa.array(nodes, pa.int64()), "home": pa.array(homes, pa.int64()), "n": pa.array(sizes, pa.int64()), "token": pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())})
+
+    return each
+
+
+def _find(root: dict[int, int], x: int) -> int:
+    while root.setdefault(x, x) != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+class _Union:
+    """A block's matrix column: its members' shingles, with who holds each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def linked(self, mine: np.ndarray, percent: int) -> np.ndarray:
+        """Members that link with a set; none where the union has too few of its shingles."""
+        lo, hi = np.searchsorted(self.tokens, mine, "left"), np.searchsorted(self.tokens, mine, "right")
+        hit = hi > lo
+        if hit.sum() < needed(len(mine), percent):
+            return np.zeros(0, np.int64)
+        lo, times = lo[hit], (hi - lo)[hit]
+        at = np.arange(times.sum()) + np.repeat(lo - np.cumsum(times) + times, times)
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(mine) - common))
+
+
+STATE = ("node", "doc_id", "home", "n", "crowd", "cuts", "block")
+
+
+def _within(percent: int):
+    def each(table: pa.Table) -> pa.Table:
+        """One block (STATE and tokens): a class for each member, named by the smallest node it
+        reaches within the block. The first member asks all; then all ask but those of the
+        largest class so far: of two members in different classes one has asked the other."""
+        nodes, first = np.unique(np.asarray(table.column("node")), return_index=True)
+        table = table.take(pa.array(first))
+        sets = T.arrays(table.column("tokens").combine_chunks(), "<u8")
+        union, cls, largest = _Union(sets), np.arange(len(nodes)), 0
+        for i in range(len(nodes)):
+            if i == 0 or cls[i] != largest:
+                for c in np.unique(cls[union.linked(sets[i], percent)]):
+                    low, high = sorted((cls[i], c))
+                    if i and high == largest:
+                        largest = low
+                    cls[cls == high] = low
+            if i == 0:
+                largest = np.bincount(cls).argmax()
+        more = {"class": pa.array(nodes[cls]), "class_id": table.column("doc_id").take(pa.array(cls))}
+        return pa.table({c: table.column(c) for c in STATE} | more)
 
     return each
 
@@ -230,35 +295,17 @@ def _open(percent: int):
         return links between classes."""
         out: list[tuple[int, int]] = []
         asks = np.asarray(table.column("asks").combine_chunks())
-        ids, sets = np.asarray(table.column("doc_id")), T.arrays(table.column("tokens").combine_chunks(), "<u8")
+        classes, sets = np.asarray(table.column("class_id")), T.arrays(table.column("tokens").combine_chunks(), "<u8")
         within, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
         if len(within) and len(asking):
-            sizes = np.array([len(sets[i]) for i in within], np.int64)
-            tokens, owner = np.concatenate([sets[i] for i in within]), np.repeat(np.arange(len(within)), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner, members = tokens[order], owner[order], ids[within]
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = x = root[root[x]]
-                return x
-
+            union, members, root = _Union([sets[i] for i in within]), classes[within], {}
             for i in asking:
-                mine, doc = sets[i], int(ids[i])
-                lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-                hit = hi > lo
-                if hit.sum() < needed(len(mine), percent):
-                    continue  # the block's union has too few of its shingles: not opened
-                lo, times = lo[hit], (hi - lo)[hit]
-                at = np.arange(times.sum()) + np.repeat(lo - np.cumsum(times) + times, times)
-                common = np.bincount(owner[at], minlength=len(sizes))
-                linked = np.flatnonzero((100 * common >= percent * (sizes + len(mine) - common)) & (members != doc))
-                for other in members[linked].tolist():
-                    a, b = find(doc), find(other)
+                mine = int(classes[i])
+                for other in np.unique(members[union.linked(sets[i], percent)]).tolist():
+                    a, b = _find(root, mine), _find(root, other)
                     if a != b:
                         root[max(a, b)] = min(a, b)
-                        out.append((doc, other))
+                        out.append((mine, other))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return each
@@ -301,20 +348,51 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame,
     chunks = -(-(sets.agg(F.sum("n")).first()[0] or 1) // CHUNK)
     dealt = sets.select(F.pmod("node", F.lit(chunks)).alias("chunk"), "node", "tokens")
     given = counting.answers(dealt.groupBy("chunk").applyInArrow(_ask(chunks), counting.ASK)).where("chunk >= 0").select(F.col("chunk").alias("of"), "kind", "range", "counts")
-    prefix = cut(dealt.groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(_prefix(percent), "node long, home long, token long"))
-
-    nodes = prefix.select("node", "home").distinct()
-    crowd = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / BLOCK)))
-    blocks = cut(nodes.join(crowd, "home").select("node", block.alias("block")))
-    columns = prefix.select("node", "token").join(blocks, "node").select("token", F.col("block").alias("at")).distinct()
-    asks = prefix.select("node", "token").join(columns, "token").select("node", "at").distinct()
+    prefix = cut(dealt.groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(_prefix(percent), "node long, home long, n long, token long"))
+
+    classes = grouped(prefix.select("node", "home", "n").distinct(), sets, percent)
+    # Only sets of one class beside sets of a smaller one are asked about: one direction is enough.
+    tokens = prefix.select("node", "token").join(classes.select("node", "block", "class", "class_id"), "node")
+    several = tokens.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token", "least")
+    beside = cut(tokens.join(several, "token"))
+    columns = beside.groupBy("token", F.col("block").alias("at")).agg(F.min("class").alias("there"))
+    asks = beside.where("class > least").select("node", "class", "class_id", "token").join(columns, "token").where("there < class").select("node", "at", "class_id").distinct()
     busy = asks.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("shares"))
-    asks = cut(asks.join(busy, "at").select("node", "at", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(True).alias("asks")))
-    opened = blocks.join(asks.select(F.col("at").alias("block"), "share").distinct(), "block").select("node", F.col("block").alias("at"), "share", F.lit(False).alias("asks"))
-    sent = sets.select("node", "doc_id", "tokens").join(asks.unionByName(opened), "node").select("at", "share", "asks", "doc_id", "tokens")
-    found = sent.groupBy("at", "share").applyInArrow(_open(percent), "a long, b long")
-    return rows.select("doc_id", "n_shingles", "same"), first, cut(found)
+    asks = cut(asks.join(busy, "at").select("node", "class_id", "at", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(True).alias("asks")))
+    opened = classes.select("node", "class_id", F.col("block").alias("at")).join(asks.select("at", "share").distinct(), "at").select("node", "class_id", "at", "share", F.lit(False).alias("asks"))
+    sent = sets.select("node", "tokens").join(asks.unionByName(opened), "node").select("at", "share", "asks", "class_id", "tokens")
+    across = sent.groupBy("at", "share").applyInArrow(_open(percent), "a long, b long")
+    inside = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    return rows.select("doc_id", "n_shingles", "same"), first, across.unionByName(inside)
+
+
+def grouped(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, home, n) to node, doc_id, block, class and class_id: groups cut into blocks, and
+    the classes that the blocks' members and then their leaders form among themselves. A class
+    is named by its smallest node, which leads it; class_id is that node's document."""
+    size = [F.count(F.lit(1)).alias("crowd"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / CHUNK)).alias("cuts")]
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block")
+    schema = ", ".join(f"{c} long" for c in (*STATE, "class", "class_id"))
+
+    def compared(members: DataFrame) -> DataFrame:
+        """One more level: members (node, home, n, crowd, cuts) to STATE, class and class_id."""
+        full = sets.join(members.select("node", "home", "crowd", "cuts", block), "node").select(*STATE, "tokens")
+        return cut(full.groupBy("block").applyInArrow(_within(percent), schema))
+
+    level = compared(nodes.join(nodes.groupBy("home").agg(*size), "home"))
+    state = level.select("node", "doc_id", "block", "class", "class_id")
+    while True:
+        leaders = level.where("node = class")
+        led = leaders.groupBy("home").agg(F.max("crowd").alias("was"), F.max("cuts").alias("parts"), *size).where("parts > 1 AND crowd > 1 AND 2 * crowd <= was")
+        again = cut(leaders.select("node", "home", "n").join(led.select("home", "crowd", "cuts"), "home"))
+        many = again.agg(F.max("cuts")).first()[0]
+        if many is None:
+            return state
+        level = compared(again)
+        moved = level.where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("to"), F.col("class_id").alias("to_id"))
+        state = state.join(moved, "class", "left").select("node", "doc_id", "block", F.coalesce("to", "class").alias("class"), F.coalesce("to_id", "class_id").alias("class_id"))
+        if many == 1:
+            return cut(state)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

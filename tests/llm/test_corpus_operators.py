@@ -610,3 +610,23 @@ def test_url_features_and_rules_are_those_of_plain_python(spark):
         entropy = -sum(u.count(c) / len(u) * math.log2(u.count(c) / len(u)) for c in set(u))
         assert (r["f_length"], r["f_depth"], r["f_query"], r["f_parameters"]) == (len(u), u.count("/"), len(query), query.count("&") + 1 if query else 0)
         assert r["f_entropy"] == pytest.approx(entropy, abs=1e-9) and r["f_digits"] == pytest.approx(sum(c in "0123456789" for c in u) / max(1, len(u)))
+
+
+def test_a_group_of_near_copies_takes_work_in_proportion(spark, monkeypatch):
+    """One hot group over many blocks, with a few outliers and a bridge: leaders merge its blocks, few sets are asked about."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for _ in range(1 if i % 40 else 4):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        texts[i] = " ".join(words)
+    asked = []
+    real = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: (out := real(df), asked.append(out.count()) if "asks" in df.columns else None)[0])
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()] + [(5, texts[5], None, None, None)] * 20, DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs, 4, 70).collect()}
+    assert got == brute.classes(texts, 4, 70) and len({c for _, c in got.values()}) > 1
+    assert sum(asked) < 6 * 300  # each set in each of 38 blocks would make over 10,000
