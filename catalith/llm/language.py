@@ -27,7 +27,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from catalith.llm import text as T
@@ -78,21 +77,25 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray,
     return out, count
 
 
-def fit(texts: pa.ChunkedArray, langs: list[str], often: np.ndarray, teachers: int, alpha: float = 0.3, l1: float = 0.3, l2: float = 0.3, rounds: int = 3, least: int = 2, seed: int = 5) -> dict:
-    """Learn from a sample; `often` tells how many of all `teachers` documents hold each coordinate."""
+def shares(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The coordinates of each text and their shares of its n-grams."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    raw, offsets = T.flat(column)
+    for lo, hi in T.slices(offsets):
+        found, _ = grams(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        both = np.concatenate([r << BITS | at for at, r in found]) if found else np.zeros(0, np.int64)
+        both, times = np.unique(both, return_counts=True)
+        bounds = np.searchsorted(both >> BITS, np.arange(hi - lo + 1))
+        for i in range(hi - lo):
+            t = times[bounds[i] : bounds[i + 1]]
+            out.append(((both[bounds[i] : bounds[i + 1]] & int(MASK)).astype(np.int32), (t / max(1, t.sum())).astype(np.float32)))
+    return out
+
+
+def fit(examples: list[tuple[np.ndarray, np.ndarray]], langs: list[str], often: np.ndarray, teachers: int, alpha: float = 0.3, l1: float = 0.3, l2: float = 0.3, rounds: int = 3, least: int = 2, seed: int = 5) -> dict:
+    """Learn from a sample's shares; `often` tells how many of all `teachers` documents hold each coordinate."""
     names = sorted(set(langs))
     target = np.eye(len(names))[[names.index(x) for x in langs]]
-    examples: list[tuple[np.ndarray, np.ndarray]] = []
-    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
-        raw, offsets = T.flat(chunk)
-        for lo, hi in T.slices(offsets):
-            found, _ = grams(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            both = np.concatenate([r << BITS | at for at, r in found]) if found else np.zeros(0, np.int64)
-            both, times = np.unique(both, return_counts=True)
-            bounds = np.searchsorted(both >> BITS, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                t = times[bounds[i] : bounds[i + 1]]
-                examples.append(((both[bounds[i] : bounds[i + 1]] & int(MASK)).astype(np.int32), (t / max(1, t.sum())).astype(np.float32)))
     here = np.zeros(1 << BITS, bool)
     for at, _ in examples:
         here[at] = True
@@ -156,12 +159,15 @@ def quota(counts: list[int], most: int) -> int:
 
 def _fit_rows(often: np.ndarray, teachers: int):
     def each(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        ids, examples, langs = [], [], []
+        for batch in batches:  # a batch's texts go once their shares are known
+            ids += batch.column(0).to_pylist()
+            examples += shares(batch.column(1))
+            langs += batch.column(2).to_pylist()
+        if not ids:
             return
-        table = pa.Table.from_batches(batches)
-        table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")]))
-        model = fit(table.column("text"), table.column("lang").to_pylist(), often, teachers)
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i], examples[i][0].tobytes()))
+        model = fit([examples[i] for i in order], [langs[i] for i in order], often, teachers)
         columns = [pa.array([model["names"]]), pa.array([model["at"].astype("<i4").tobytes()]), pa.array([model["table"].astype("<f4").tobytes()]), pa.array([model["temperature"]])]
         yield pa.RecordBatch.from_arrays(columns, names=["names", "at", "table", "temperature"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from catalith.llm import text as T
 from catalith.llm.common import load
 
-WINDOW, END_ID, BATCH_TOKENS, REMEMBER = 4096, 2, 2_000_000, 1_200_000
+WINDOW, END_ID, BATCH_TOKENS, REMEMBER = 4096, 2, 2_000_000, 800_000
 CLOSED = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from catalith.llm import text as T
@@ -55,15 +54,18 @@ def features(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = N
     return both >> BITS, both & ALWAYS
 
 
-def fit(texts: pa.ChunkedArray, labels: np.ndarray, alpha: float = 0.5, l1: float = 5.0, l2: float = 0.1, rounds: int = 3, least: int = 3, seed: int = 11) -> dict:
-    """Learn from texts with labels 0 and 1: coordinates, weights, slope and shift."""
-    examples: list[np.ndarray] = []
-    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
-        raw, offsets = T.flat(chunk)
-        for lo, hi in T.slices(offsets):
-            row, at = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            cuts = np.searchsorted(row, np.arange(1, hi - lo))
-            examples += [x.astype(np.int32) for x in np.split(at, cuts)]
+def coordinates(column: pa.Array) -> list[np.ndarray]:
+    """The distinct features of each text."""
+    out: list[np.ndarray] = []
+    raw, offsets = T.flat(column)
+    for lo, hi in T.slices(offsets):
+        row, at = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        out += [x.astype(np.int32) for x in np.split(at, np.searchsorted(row, np.arange(1, hi - lo)))]
+    return out
+
+
+def fit(examples: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, l1: float = 5.0, l2: float = 0.1, rounds: int = 3, least: int = 3, seed: int = 11) -> dict:
+    """Learn from the features of texts with labels 0 and 1: coordinates, weights, slope and shift."""
     often = np.zeros(1 << BITS, np.int64)
     for x in examples:
         often[x] += 1
@@ -88,16 +90,19 @@ MODEL = "only double, at binary, weights binary, slope double, shift double"
 
 def _fit_rows(batches):
     """The whole sample, (doc_id, text, toxic) rows, to one row with the model."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
+    ids, examples, toxic = [], [], []
+    for batch in batches:  # a batch's texts go once their features are known
+        ids += batch.column(0).to_pylist()
+        examples += coordinates(batch.column(1))
+        toxic += batch.column(2).to_pylist()
+    if not ids:
         return
-    table = pa.Table.from_batches(batches)
-    table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
-    toxic = table.column("toxic").to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], examples[i].tobytes()))
+    examples, toxic = [examples[i] for i in order], np.array(toxic)[order]
     if len(np.unique(toxic >= 0.5)) < 2:
         model = {"only": float(toxic[0] >= 0.5), "at": b"", "weights": b"", "slope": 1.0, "shift": 0.0}
     else:
-        model = fit(table.column("text"), toxic)
+        model = fit(examples, toxic)
         model = model | {"at": model["at"].astype("<i4").tobytes(), "weights": model["weights"].astype("<f8").tobytes()}
     kinds = [pa.float64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in MODEL.split(", ")]
