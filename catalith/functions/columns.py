@@ -6,6 +6,10 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.window import Window as W
 
 
+# How known credentials begin.
+SECRET_PREFIXES = ("sk-", "sk_", "AIza", "gsk_", "xai-", "ghp_", "github_pat_")
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -99,8 +103,39 @@ def scrub_secrets(text) -> Column:
     return F.regexp_replace(col(text), r'(?i)\b(token|key|secret|password)(\s*[=:]\s*)"?[A-Za-z0-9_-]{8,}"?', "$1$2***")
 
 
+def secret_tokens(text) -> Column:
+    """Tokens that begin as known credentials do, or are shaped like them: 32 characters or
+    more with an upper-case letter and a digit, so that lower-case digests are none."""
+    tokens = F.regexp_extract_all(col(text), F.lit(r"[A-Za-z0-9._-]+"), F.lit(0))
+    shaped = lambda x: (F.length(x) >= 32) & x.rlike("[A-Z]") & x.rlike("[0-9]")
+    begins = rf"^(?:{'|'.join(SECRET_PREFIXES)}).{{5,}}$"
+    return F.filter(tokens, lambda x: x.rlike(begins) | shaped(x))
+
+
 def numbers_in(text) -> Column:
-    return F.regexp_extract_all(col(text), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    """The numbers of a text, those that are equal written alike (50 for 50.0 and 50.00)."""
+    found = F.regexp_extract_all(col(text), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.transform(found, lambda x: F.when(x.contains("."), F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")).otherwise(x))
+
+
+def with_bits(flags, clear: int = 0, set_: Column | int = 0) -> Column:
+    """Flags with some bits cleared and then others set."""
+    more = F.lit(set_) if isinstance(set_, int) else set_
+    return col(flags).bitwiseAND(F.lit(~clear)).bitwiseOR(more)
+
+
+def folded_path(path) -> Column:
+    return F.lower(F.regexp_replace(col(path), r"[\\/]+", "/"))
+
+
+def camera_time(text, offset) -> Column:
+    """A camera's date and time and its offset as a timestamp."""
+    return F.to_timestamp(F.concat(col(text), col(offset)), "yyyy:MM:dd HH:mm:ssxxx")
+
+
+def subsecond_ms(x) -> Column:
+    """Three digits are milliseconds, fewer are hundredths."""
+    return F.when(col(x) >= 100, col(x)).otherwise(col(x) * 10)
 
 
 def grounded(text, facts) -> Column:

@@ -9,13 +9,12 @@ from pyspark.sql.window import Window as W
 from catalith.operators import joins, selection, similarity
 
 
-def moment_edges(rows: DataFrame, key: str, at: str, window: str, hard: int, carry: list[str], score: Column, least: Column, group: list[str] | None = None, neighbours: int = 64) -> DataFrame:
+def moment_edges(rows: DataFrame, key: str, at: str, window: str, hard: int, carry: list[str], score: Column, least: Column, group: list[str] | None = None) -> DataFrame:
     """Scored edges between rows at most the left row's adaptive window apart (never more than
-    `hard`), each row with at most `neighbours` next ones: a band join on buckets of `hard`.
-    `score` and `least` see a_ and b_ columns, gap and reach."""
+    `hard`), all of them: a band join on buckets of `hard`. `score` and `least` see a_ and b_
+    columns, gap and reach."""
     pairs = joins.band_pairs(rows, key, at, hard, group, [window, *carry])
     near = pairs.withColumn("reach", F.least(F.col(f"a_{window}"), F.lit(hard))).where(F.col("gap") <= F.col("reach"))
-    near = near.withColumn("_i", F.row_number().over(W.partitionBy("a").orderBy("gap", "b"))).where(F.col("_i") <= neighbours)
     return near.withColumn("score", score).where(F.col("score") >= least).select("a", "b", "gap", "score")
 
 
@@ -125,9 +124,11 @@ def relaxed_best(rows: DataFrame, group: str, ladder: list[Column], order: list[
     return selection.best_per_group(rows.withColumn("rung", rung.cast("long")), [group], [F.asc("rung"), *order])
 
 
-def threshold_sweep(pairs: DataFrame, distance: str, same: str, thresholds: list[float]) -> DataFrame:
-    """Precision, recall and F1 of pairs at each threshold, in one pass over the pairs."""
-    total = F.sum(same)
+def threshold_sweep(pairs: DataFrame, distance: str, same: str, thresholds: list[float], total: Column | None = None) -> DataFrame:
+    """Precision, recall and F1 of pairs at each threshold, in one pass over the pairs. Where
+    pairs beyond the last threshold are left out, `total` (an aggregate) tells how many of all
+    are the same."""
+    total = F.sum(same) if total is None else total
     rows = [F.struct(F.lit(t).alias("threshold"), F.sum(F.when(F.col(distance) <= t, F.col(same)).otherwise(0)).alias("tp"), F.sum((F.col(distance) <= t).cast("int")).alias("named"), total.alias("real")) for t in thresholds]
     one = pairs.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     f1 = F.when(F.col("named") + F.col("real") > 0, 2 * F.col("tp") / (F.col("named") + F.col("real"))).otherwise(0.0)

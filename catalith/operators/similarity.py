@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from catalith.functions.columns import hamming, sign_bits
+from catalith.sources.tables import shared_folder
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
@@ -135,29 +135,34 @@ def hamming_near(base: DataFrame, key: str, bits: str, radius: int, width: int =
     return near.select("a", "b", "distance").distinct()
 
 
-def classified_pairs(pairs: DataFrame, same: str, bits: str, distance: str) -> DataFrame:
+def classified_pairs(pairs: DataFrame, same: str, bits: str, distance: str, most_bits: int = 4, most: float = 0.03, far: float = 1.0) -> DataFrame:
     """Identical, near or variant, with a confidence, from a content match, the bit distance
-    and the cosine distance."""
-    near = (F.col(bits) <= 4) & (F.col(distance) <= 0.03)
+    (of 64) and the cosine distance."""
+    near = (F.col(bits) <= most_bits) & (F.col(distance) <= most)
     kind = F.when(F.col(same), "identical").when(near, "near").otherwise("variant")
-    margins = ((4 - F.col(bits)) / 4 + (0.03 - F.col(distance)) / 0.03) / 2
-    excess = F.least(F.greatest((F.col(bits) - 4) / 60, (F.col(distance) - 0.03) / 0.97, F.lit(0.0)), F.lit(1.0))
+    margins = ((most_bits - F.col(bits)) / most_bits + (most - F.col(distance)) / most) / 2
+    excess = F.least(F.greatest((F.col(bits) - most_bits) / (64 - most_bits), (F.col(distance) - most) / (far - most), F.lit(0.0)), F.lit(1.0))
     return pairs.withColumns({"kind": kind, "confidence": F.when(F.col(same), 1.0).when(near, 0.5 + 0.5 * margins).otherwise(0.55 + 0.45 * excess)})
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None, key: str = "node", rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node reachable, by rounds of least labels with label jumping,
     each cut in the checkpoint folder. Nodes without edges keep themselves."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).checkpoint()
+    both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
+    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")))
     for _ in range(rounds):
         heard = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("near"))
         step = labels.join(heard, "x").select("x", F.least("root", "near").alias("to"))
         jump = step.join(labels.select(F.col("x").alias("to"), F.col("root").alias("far")), "to", "left").select("x", F.least("to", "far").alias("next"))
-        new = labels.join(jump, "x").select("x", "root", "next").checkpoint()
+        new = cut(labels.join(jump, "x").select("x", "root", "next"))
         moved = new.where("root <> next").limit(1).count()
         labels = new.select("x", F.col("next").alias("root"))
         if not moved:

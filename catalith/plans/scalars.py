@@ -18,19 +18,19 @@ def stem(t):
     return t("pages").select("page_id", C.path_stem(F.regexp_extract("url", "[^/]*$", 0)).alias("stem"))
 
 
-@query("scrub", r"""SELECT doc_id, md5(regexp_replace(text, '\b(token|key|secret|password)(\s*[=:]\s*)"?[A-Za-z0-9_-]{8,}"?', '\1\2***', 'gi')) AS digest FROM documents WHERE contains(text, 'token')""")
+@query("scrub", r"""SELECT doc_id, md5(regexp_replace(text, '\b(token|key|secret|password)(\s*[=:]\s*)"?[A-Za-z0-9_-]{8,}"?', '\1\2***', 'gi')) AS digest FROM documents""")
 def scrub(t):
-    return t("documents").where(F.col("text").contains("token")).select("doc_id", F.md5(C.scrub_secrets("text")).alias("digest"))
+    return t("documents").select("doc_id", F.md5(C.scrub_secrets("text")).alias("digest"))
 
 
-@query("numbers_in_text", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS numbers, coalesce(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')[1], '') AS first FROM documents")
+@query("numbers_in_text", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS numbers, coalesce(list_transform(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END)[1], '') AS first FROM documents")
 def numbers_in_text(t):
     n = C.numbers_in("text")
     return t("documents").select("doc_id", F.size(n).cast("long").alias("numbers"), F.coalesce(F.get(n, F.lit(0)), F.lit("")).alias("first"))
 
 
 @query("grounded_summary", r"""
-SELECT event_id, len(list_filter(regexp_extract_all(props || event_id, '[0-9]+(?:\.[0-9]+)?'), lambda x: NOT list_contains(regexp_extract_all(props || ' ' || user_id, '[0-9]+(?:\.[0-9]+)?'), x))) = 0 AS grounded FROM events""")
+SELECT event_id, len(list_filter(list_transform(regexp_extract_all(props || event_id, '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END), lambda y: NOT list_contains(list_transform(regexp_extract_all(props || ' ' || user_id, '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END), y))) = 0 AS grounded FROM events""")
 def grounded_summary(t):
     return t("events").select("event_id", C.grounded(F.concat("props", F.col("event_id").cast("string")), F.concat_ws(" ", "props", F.col("user_id").cast("string"))).alias("grounded"))
 

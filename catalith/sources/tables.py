@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Column types of the driver's tables; nothing is inferred from data.
@@ -71,3 +73,12 @@ def verified_backup(df: DataFrame, path: str) -> int:
     if before != after:
         raise OSError(f"backup differs: {before} and {after}")
     return before[0]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset, a temporary one, which
+    only a local master can share with its executors."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalith.sources.tables import SCHEMAS
+from catalith.sources.tables import SCHEMAS, shared_folder
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, path: str) -> DataFrame:
