@@ -28,6 +28,8 @@ from catalith.llm import text as T
 from catalith.llm.common import id_range, load
 
 MIN_MATCH, BLOCK_BYTES = 5, 8 << 20
+#: Pairs of equal hashes that are held at once.
+PIECE = 1 << 20
 OUT = "doc_id long, item_id long, item_words long, covered_words long, tiles long, coverage double"
 
 
@@ -37,14 +39,16 @@ def tiles(runs: list[tuple[int, int, int]], least: int = MIN_MATCH) -> list[tupl
     the document."""
     heap = [(-n, q, p) for p, q, n in runs]
     heapq.heapify(heap)
-    in_doc, in_item, out = set(), set(), []
+    in_doc, in_item, out = set(), bytearray(max((q + n for _, q, n in runs), default=0)), []
     while heap:
         n, q, p = heapq.heappop(heap)
         n = -n
-        free = [p + i not in in_doc and q + i not in in_item for i in range(n)]
+        if in_item.find(0, q, q + n) < 0:
+            continue
+        free = [not in_item[q + i] and p + i not in in_doc for i in range(n)]
         if all(free):
             in_doc.update(range(p, p + n))
-            in_item.update(range(q, q + n))
+            in_item[q : q + n] = b"\1" * n
             out.append((p, q, n))
             continue
         at = 0
@@ -58,59 +62,115 @@ def tiles(runs: list[tuple[int, int, int]], least: int = MIN_MATCH) -> list[tupl
     return out
 
 
-def common_runs(doc_at: np.ndarray, item_at: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Maximal common runs from the places of equal hashes: neighbours on one diagonal join."""
-    order = np.lexsort((doc_at, doc_at - item_at))
-    p, q = doc_at[order], item_at[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-    first = np.flatnonzero(new)
-    return list(zip(p[first].tolist(), q[first].tolist(), (np.diff(np.append(first, len(p))) + least - 1).tolist(), strict=True))
+def common_runs(doc_at: np.ndarray, doc_key: np.ndarray, item_at: np.ndarray, item_key: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Maximal common runs of a document (places ascending) and an item (keys ascending) from
+    the keys of their runs of `least` words. Equal keys are paired PIECE pairs at a time, and
+    neighbours on one diagonal join, across pieces too, so that memory does not follow the
+    product of repeated places.
+
+    Of runs of n words at one place of the item, only the first words + (words / least) (n - 1)
+    + 1 in the document are kept (words: those of the item). Tiles mark no more words than the
+    item has, so they touch fewer of these runs than that: one is untouched at any time, comes
+    before all that are left out, and is laid before any part of them."""
+    left = np.searchsorted(item_key, doc_key, "left")
+    times = np.searchsorted(item_key, doc_key, "right") - left
+    some = np.flatnonzero(times)
+    if not len(some):
+        return []
+    doc_at, left, times = doc_at[some], left[some], times[some]
+    shift, width = int(item_at.max()), int(doc_at[-1]) + 2
+    words = shift + least
+
+    def first_of_each(start, size):
+        p, n = start % width, size + least - 1
+        q = p + shift - start // width
+        order = np.lexsort((p, q, n))
+        same = (n[order][1:] == n[order][:-1]) & (q[order][1:] == q[order][:-1])
+        head = np.flatnonzero(np.append(True, ~same))
+        rank = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+        kept = order[rank < words + words // least * (n[order] - 1) + 1]
+        return start[kept], size[kept]
+
+    done = going = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # diagonal * width + place, hits
+    for lo, hi in T.slices(np.concatenate(([0], np.cumsum(times))), PIECE):
+        n = times[lo:hi]
+        hit = np.repeat(left[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(doc_at[lo:hi], n)
+        key = np.sort((at - item_at[hit] + shift) * width + at)
+        first = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+        start = np.concatenate((going[0], key[first]))
+        order = np.argsort(start, kind="stable")
+        start, size = start[order], np.concatenate((going[1], np.diff(np.append(first, len(key)))))[order]
+        first = np.flatnonzero(np.append(True, start[1:] != start[:-1] + size[:-1]))
+        start, size = start[first], np.add.reduceat(size, first)
+        last = start % width + size > doc_at[hi - 1]  # may go on in the next piece
+        going = start[last], size[last]
+        done = tuple(np.concatenate((x, y[~last])) for x, y in zip(done, (start, size), strict=True))
+        if len(done[0]) > PIECE:
+            done = first_of_each(*done)
+    start, size = first_of_each(*(np.concatenate(x) for x in zip(done, going, strict=True)))
+    p = start % width
+    return list(zip(p.tolist(), (p + shift - start // width).tolist(), (size + least - 1).tolist(), strict=True))
 
 
 def index(items: pa.Table) -> dict:
-    """Sorted hashes of a block's runs of words, with the item and the place of each."""
+    """A block's distinct hashes of runs of words; for each its places (item, place), and for
+    each item its places by hash. `times`: how many rows of the benchmark an item stands for."""
     raw, offsets = T.flat(items.column("text"))
     hashes, row, _, _ = T.words(raw, offsets, T.PLAIN)
     found, at = T.grams(hashes, row, MIN_MATCH)
     size = np.bincount(row, minlength=items.num_rows)
-    place = at - np.concatenate(([0], np.cumsum(size)))[row[at]]
-    order = np.argsort(found, kind="stable")
-    return {"hash": found[order], "item": row[at][order], "place": place[order], "size": size, "ids": items.column("item_id").to_pylist()}
+    item, place = row[at], at - np.concatenate(([0], np.cumsum(size)))[row[at]]
+    one, key = np.unique(found, return_inverse=True)
+    order, own = np.argsort(key, kind="stable"), np.lexsort((place, key, item))
+    return {
+        "hash": one, "bounds": np.searchsorted(key[order], np.arange(len(one) + 1)), "item": item[order], "place": place[order],
+        "own": np.searchsorted(item[own], np.arange(items.num_rows + 1)), "own_key": key[own], "own_place": place[own],
+        "size": size, "ids": items.column("item_id").to_pylist(), "times": items.column("times").to_pylist(),
+    }
+
+
+def _candidates(block: dict, owner: np.ndarray, key: np.ndarray, threshold: float):
+    """(row, item) where the hashes that both have could cover enough of the item. Each
+    distinct hash of a row meets its places in the block, about PIECE at a time; no row has
+    more of them than the block has places."""
+    size, bounds = block["size"], block["bounds"]
+    width = int(size.max()) + 1
+    has = np.unique(owner * len(block["hash"]) + key)
+    owner, key = has // len(block["hash"]), has % len(block["hash"])
+    times = bounds[key + 1] - bounds[key]
+    rows = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+    for a, b in T.slices(np.concatenate(([0], np.cumsum(times)))[rows], PIECE):
+        part = slice(rows[a], rows[b])
+        n = times[part]
+        hit = np.repeat(bounds[key[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        spot = np.sort((np.repeat(owner[part], n) * len(size) + block["item"][hit]) * width + block["place"][hit])
+        pair, where = spot // width, spot % width
+        step = np.full(len(spot), MIN_MATCH)
+        same = pair[1:] == pair[:-1]
+        step[:-1][same] = np.minimum(MIN_MATCH, np.diff(where)[same])
+        pairs, first = np.unique(pair, return_index=True)
+        most = np.add.reduceat(step, first)  # no more of the item can be covered
+        yield from (divmod(x, len(size)) for x in pairs[most >= threshold * size[pairs % len(size)]].tolist())
 
 
 def _leaks_of(block: dict, threshold: float, column: pa.Array):
     """(row, item, covered words, tiles) of every item of the block that a row leaks."""
-    size = block["size"]
-    width = int(size.max()) + 1 if len(size) else 1
     raw, offsets = T.flat(column)
     for lo, hi in T.slices(offsets) if len(block["hash"]) else ():
         hashes, row, _, _ = T.words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], T.PLAIN)
         found, at = T.grams(hashes, row, MIN_MATCH)
-        left = np.searchsorted(block["hash"], found, "left")
-        near = np.flatnonzero(block["hash"][np.minimum(left, len(block["hash"]) - 1)] == found)
+        key = np.minimum(np.searchsorted(block["hash"], found), len(block["hash"]) - 1)
+        near = np.flatnonzero(block["hash"][key] == found)
         if not len(near):
             continue
-        times = np.searchsorted(block["hash"], found[near], "right") - left[near]
-        hit = np.repeat(left[near], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        place = np.repeat(at[near], times)
-        pair = row[place] * len(size) + block["item"][hit]
-        spot = np.unique(pair * width + block["place"][hit])
-        owner, where = spot // width, spot % width
-        step = np.full(len(spot), MIN_MATCH)
-        same = owner[1:] == owner[:-1]
-        step[:-1][same] = np.minimum(MIN_MATCH, np.diff(where)[same])
-        pairs, first = np.unique(owner, return_index=True)
-        most = np.add.reduceat(step, first)  # no more of the item can be covered
-        pairs = pairs[most >= threshold * size[pairs % len(size)]]
-        keep = np.isin(pair, pairs)
-        order = np.argsort(pair[keep], kind="stable")
-        pair, place, spot = pair[keep][order], place[keep][order], block["place"][hit[keep][order]]
-        for one, a, b in zip(pairs.tolist(), np.searchsorted(pair, pairs, "left"), np.searchsorted(pair, pairs, "right"), strict=True):
-            doc, item = divmod(one, len(size))
-            laid = tiles(common_runs(place[a:b], spot[a:b]))
+        key, at, owner = key[near], at[near], row[at[near]]
+        for doc, item in _candidates(block, owner, key, threshold):
+            a, b = np.searchsorted(owner, [doc, doc + 1])
+            mine = slice(*block["own"][item : item + 2])
+            laid = tiles(common_runs(at[a:b], key[a:b], block["own_place"][mine], block["own_key"][mine]))
             covered = sum(n for _, _, n in laid)
-            if covered >= threshold * size[item]:
+            if covered >= threshold * block["size"][item]:
                 yield lo + doc, item, covered, len(laid)
 
 
@@ -122,7 +182,7 @@ def _scan(block: dict, threshold: float):
             docs, rows = batch.column(0), []
             for doc, item, covered, n in _leaks_of(block, threshold, batch.column(1)):
                 words = int(block["size"][item])
-                rows.append((docs[doc].as_py(), block["ids"][item], words, covered, n, covered / words))
+                rows += [(docs[doc].as_py(), block["ids"][item], words, covered, n, covered / words)] * block["times"][item]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -140,8 +200,8 @@ def _keep(block: dict, threshold: float, at: int):
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The benchmark's index in blocks of about block_bytes of text."""
-    items = benchmark.select("item_id", "text")
+    """The benchmark's index in blocks of about block_bytes of text; equal rows are one item."""
+    items = benchmark.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
     blocks = id_range(items, "text", block_bytes)
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on a small table with awkward rows."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -150,6 +151,36 @@ def test_decontamination_is_greedy_string_tiling(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_tiles_of_repetitive_texts_are_those_of_the_definition(monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    random = np.random.default_rng(5)
+    for vocabulary in [1, 2, 3] * 20:
+        item = [f"w{x}" for x in random.integers(0, vocabulary, random.integers(5, 40))]
+        doc = [f"w{x}" for x in random.integers(0, vocabulary, random.integers(5, 120))]
+        block = decontaminate.index(pa.table({"item_id": [1], "text": [" ".join(item)], "times": [1]}))
+        got = {item_: n for _, item_, n, _ in decontaminate._leaks_of(block, 0.0, pa.array([" ".join(doc)]))}
+        assert got.get(0, 0) == tiling(doc, item)
+
+
+def test_a_repetitive_text_takes_memory_in_proportion():
+    block = decontaminate.index(pa.table({"item_id": [1], "text": ["so " * 300], "times": [1]}))
+    tracemalloc.start()
+    assert [x[1:] for x in decontaminate._leaks_of(block, 0.8, pa.array(["so " * 200_000]))] == [(0, 300, 1)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_decontamination_of_repeated_rows_nulls_and_clashing_columns(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, None), (2, None, "x"), (3, "", "x")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(7, text), (7, text), (None, text), (8, "too short"), (9, None)], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == sorted([("1", "7")] * 4 + [("1", "None")] * 2 + [("None", "7")] * 2 + [("None", "None")])
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
+
+
 def accuracy(rows, label, predicted):
     return sum(r[label] == r[predicted] for r in rows) / max(1, len(rows))
 
