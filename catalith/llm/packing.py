@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,13 +37,16 @@ from catalith.llm import text as T
 from catalith.llm.common import load
 
 WINDOW, END_ID, BATCH_TOKENS, REMEMBER = 4096, 2, 2_000_000, 800_000
-CLOSED = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: Punctuation (but no apostrophe, which may begin a contraction) that closes a word after an
+#: ASCII letter or digit or a Latin-1 letter.
+CLOSED = re.compile(rb"([!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)")
+BAR = "|"
 
 
 class Words:
-    """Ids of texts by way of their words; remembers up to REMEMBER words. A word is looked
-    up lower-cased in A-Z and without a full stop or comma that closes it after a letter or
-    digit, which the tokenizer splits off in any case."""
+    """Ids of texts by way of their words; remembers up to REMEMBER words, in two halves: when
+    the newer one is full, the older one goes. A word is looked up lower-cased in A-Z and
+    without the punctuation that closes it, which the tokenizer splits off in any case."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -53,30 +55,51 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > REMEMBER:
-            self.known, new = {}, list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, e in zip(new, found, strict=True):
-            self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def ids(self, raw: bytes, end: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of one text, and the end id."""
+        self.older: dict[bytes, bytes] = {}
+        self.bar = self._encode([BAR])[0]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not among the newer half, which takes them in."""
+        found = {w: self.older[w] for w in words & self.older.keys()}
+        unseen = list(words.difference(found))
+        for at in range(0, len(unseen), 256):
+            found.update(self._learn(unseen[at : at + 256]))
+        if len(self.known) + len(found) > REMEMBER // 2:
+            self.older, self.known = self.known, {}
+        if len(found) <= REMEMBER // 2:
+            self.known.update(found)
+        return found
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words are tokenised many at a time, a bar after each; those that hold a bar or an
+        added token, one by one."""
+        apart = [w for w in words if b"|" in w]
+        plain = [w for w in words if b"|" not in w] if apart else words
+        ids = self._encode([" ".join(f"{w.decode('utf-8', 'replace')} {BAR}" for w in plain)])[0] if plain else self.bar[:0]
+        ends = np.flatnonzero(ids == self.bar[0]).tolist()
+        if len(self.bar) != 1 or len(ends) != len(plain):  # not a tokenizer that keeps bars apart
+            apart, plain = words, []
+        raw, starts = ids.tobytes(), [0, *(x + 1 for x in ends)]
+        out = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, starts, ends, strict=False)}
+        out.update((w, x.tobytes()) for w, x in zip(apart, self._encode([w.decode("utf-8", "replace") for w in apart]), strict=True))
+        return out
+
+    def _split(self, raw: bytes) -> list[bytes]:
         low = raw.lower()
         if any(token in low for token in self.added):  # rare: word by word
-            low = b" ".join([w if any(token in w.lower() for token in self.added) else w.lower() for w in raw.split()])
-        words = CLOSED.sub(rb" \1", low).split()
-        out = []
-        for at in range(0, len(words), REMEMBER // 4):  # a text may have more words than are remembered
-            part = words[at : at + REMEMBER // 4]
-            try:
-                out.append(b"".join([self.known[w] for w in part]))
-            except KeyError:
-                self.learn(set(part))
-                out.append(b"".join([self.known[w] for w in part]))
-        return b"".join(out) + end
+            return [x for w in raw.split() for x in ([w] if any(token in w.lower() for token in self.added) else CLOSED.sub(rb" \1", w.lower()).split())]
+        return CLOSED.sub(rb" \1", low).split()
+
+    def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and the end id."""
+        words = [self._split(x) for x in texts]
+        found = [list(map(self.known.get, x)) for x in words]
+        missing = {w for x, y in zip(words, found, strict=True) if None in y for w, one in zip(x, y, strict=True) if one is None}
+        new = self.learn(missing) if missing else {}
+        return [b"".join([new[w] if one is None else one for w, one in zip(x, y, strict=True)] if missing else y) + end for x, y in zip(words, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -183,10 +206,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             raw, offsets = T.flat(batch.column(1))
             data = raw.tobytes()
             for lo, hi in T.slices(offsets):
-                for i, one in zip(range(lo, hi), batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True):
-                    texts.append(words.ids(data[offsets[i] : offsets[i + 1]], end))
+                coded = words.ids([data[offsets[i] : offsets[i + 1]] for i in range(lo, hi)], end)
+                for one, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), coded, strict=True):
+                    texts.append(text)
                     ids.append(one)
-                    held += len(texts[-1]) // 4
+                    held += len(text) // 4
                     if held >= batch_tokens:
                         yield from packed(ids, texts)
                         ids, texts, held = [], [], 0

@@ -32,7 +32,7 @@ def near_copies(seed=3, clusters=6, size=12):
     return texts
 
 
-AWKWARD = [None, "", " \t\n", "one", "Two  words", "two WORDS", "é ñ ß", "x" * 5000, "+" * 300, "1.2.3.4" + ".5" * 400, "a@" + "b." * 3000 + "c", "9" * 3000, " ".join(["word"] * 4000), "İstanbul straße 𝒳𝒴 日本語", "a <|ENDOFTEXT|> b, x<|StartOfText|>. And <|endoftext|>Y <|startoftext|>"]
+AWKWARD = [None, "", " \t\n", "one", "Two  words", "two WORDS", "é ñ ß", "x" * 5000, "+" * 300, "1.2.3.4" + ".5" * 400, "a@" + "b." * 3000 + "c", "9" * 3000, " ".join(["word"] * 4000), "İstanbul straße 𝒳𝒴 日本語", "a <|ENDOFTEXT|> b, x<|StartOfText|>. And <|endoftext|>Y <|startoftext|>", "it's. O'K!! É... ÉÜ× ÷. a|b c| | |d e\u0301. f*** \u00bb. ª. 7, (x) ...", "I'll.' 're!! x.'s y'd) ñ& ß,, n\u0303\u00a0o: \u2003p;"]
 
 
 @pytest.fixture(scope="module")
@@ -275,6 +275,19 @@ def test_packing_holds_every_id_once(spark, docs, rows, empty, batch):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_words_that_are_forgotten_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBER", 40)
+    path = packing.tokenizer_path()
+    words, tokenizer = packing.Words(path), Tokenizer.from_file(path)
+    draw = random.Random(4)
+    for _ in range(60):
+        texts = [" ".join(draw.choice(["so", "Ever", "on", "né", "x|", "a1"]) + str(int(draw.expovariate(0.1))) + draw.choice(["", ".", "!?", "'s", "''."]) for _ in range(draw.choice([0, 3, 60]))) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.ids([x.encode() for x in texts], b"")] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(words.known) + len(words.older) <= 40
+
+
 def test_url_rules_and_parts(spark):
     urls = [None, "", "no scheme", "http://", "https://Sub.EXAMPLE.com/en/7?x#y", "http://example.com/en/70", "http://example.com/en/8", "http://a.net/de/x", "http://example.net/de/8", "ftp://org/es/", "http://borg/es/", "http://com", "http://a.com?/en/", "x://y://z.com/en/q", "http://a.COM/EN/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("suffix", F.lit("x"))
