@@ -23,8 +23,10 @@ ASK = "kind int, range int, chunk long, keys binary, counts binary"
 ANSWER = "kind int, range int, chunk long, counts binary, total long, distinct long"
 
 
-def chunk_of(doc_id: str, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(chunks))
+def chunk_of(names: tuple[str, ...], chunks: int) -> Column:
+    """By all columns named, so that neither many rows of one (or no) id nor many copies of a
+    text are one chunk."""
+    return F.pmod(F.xxhash64(*names), F.lit(chunks))
 
 
 def pack(counts: np.ndarray) -> bytes:

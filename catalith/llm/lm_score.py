@@ -8,7 +8,7 @@ its own counts are subtracted, and its training tokens are predicted from the
 rest. Tokens of equal bucket and (to a quarter of an octave) equal estimates
 are counted together, so EM reads a table of bounded size.
 
-Documents are dealt into chunks by a hash of the id; the chunks ask for corpus
+Documents are dealt into chunks by a hash of id and text; the chunks ask for corpus
 counts of their distinct words and word pairs (see counting). Words and pairs
 are compared by hash: 64 bits for words, 48 for pairs. At cluster scale raise
 `chunk_bytes` so that chunks times ranges stays near what one shuffle handles.
@@ -172,7 +172,7 @@ def lm_score(docs: DataFrame, learns: Column | None = None, chunk_bytes: int = C
     docs; `learns` is the condition under which a row teaches (unless given: fold 1 does not)."""
     learns = (fold() != 1) if learns is None else learns
     chunks = max(DELETED, id_range(docs, "text", chunk_bytes))
-    dealt = docs.select(counting.chunk_of("doc_id", chunks).alias("chunk"), "doc_id", learns.alias("teach"), "text")
+    dealt = docs.select(counting.chunk_of(("doc_id", "text"), chunks).alias("chunk"), "doc_id", learns.alias("teach"), "text")
     given = cut(counting.answers(dealt.mapInArrow(_ask(chunks), counting.ASK)))
     sums = given.where("chunk < 0 AND kind = 1").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)

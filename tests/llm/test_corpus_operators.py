@@ -410,6 +410,17 @@ def test_lm_base_scores_are_exact_and_the_model_beats_them(spark, docs, rows, em
     assert lm_score.lm_score(empty).count() == 0
 
 
+def test_lm_chunks_split_rows_of_one_or_no_id_and_copies_of_one_text(spark):
+    rows = [(d, f"some words {i % 200} of many") for i, d in enumerate([None] * 200 + [7] * 200)] + [(1000 + i, "one and the same text") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = docs.groupBy(counting.chunk_of(("doc_id", "text"), 16).alias("chunk")).count().collect()
+    assert len(dealt) == 16 and max(r["count"] for r in dealt) < 100
+    got = lm_score.lm_score(docs).collect()
+    want = brute.lm_base([(d, t) for d, t in rows if d is not None])
+    assert len(got) == len(rows) and {r["train_tokens"] for r in got} == {want[7][2]}
+    assert {round(r["base_score"], 9) for r in got if r["doc_id"] == 1000} == {round(want[1000][3], 9)}
+
+
 def test_lm_held_out_documents_score_above_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     sums = lm_score.lm_score(docs).join(docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("held")), "doc_id").where("held").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
