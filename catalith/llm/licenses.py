@@ -4,14 +4,17 @@ Words are runs of letters and digits, lower-cased in A-Z. The templates' runs of
 GRAM words are hashed and winnowed over windows of WINDOW hashes, as those of
 each document are; any common stretch of GRAM + WINDOW - 1 words shares a
 fingerprint. An inverted index of the templates' fingerprints gives, for each
-document, template and diagonal, where to look. There a local alignment within
-BAND words of the diagonal finds the stretch that matches best; matched template
-words over all template words is the coverage.
+document, template and diagonal, where to look, unless a count of common words says that
+nothing there can reach the threshold. There a local alignment within BAND words of the
+diagonal finds the stretch that matches best; matched template words over all template
+words is the coverage. The best match of a document is taken first and its words are
+barred; the others are measured again where they reached into it, so that k copies side
+by side are k matches.
 
 Defined results: templates of fewer than GRAM words can't be found; null and
 empty texts match nothing; rows with a null doc_id are scanned like others;
-repeated rows are scanned one by one; of matches that overlap in a document, of
-whatever templates, the best stays (more matched words, then the larger coverage,
+repeated rows are scanned one by one; matches of a document, of whatever templates,
+never overlap and the best comes first (more matched words, then the larger coverage,
 then the earlier); a match counts only with the words that tell its licence from
 its kin (NEEDED) and without theirs (RIVAL); extra columns are ignored; an empty
 table gives no rows. Templates are statements, headers and the whole texts in
@@ -21,7 +24,7 @@ its diagonal is measured up to there.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,6 +36,9 @@ from catalith.llm import text as T
 from catalith.llm.common import load
 
 GRAM, WINDOW, BAND = 3, 3, 6
+#: Stands for document words that a match has taken; pairs of equal fingerprints held at once;
+#: templates of more words than SHORT are looked for in coarse windows first.
+TAKEN, PIECE, SHORT = (1 << 64) - 1, 1 << 20, 64
 OUT = "doc_id long, license string, matched_words long, template_words long, coverage double, start long, end long"
 
 # The statements and headers by which texts name their licence.
@@ -103,33 +109,36 @@ def winnow(found: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Best local alignment of template words with document words within band of the
     diagonal (document place - template place): matched words, first and last document
-    place. Match 2, substitution -1, gap -1; ties: the earlier end, then the later start."""
+    place. Match 2, substitution -1, gap -1; ties: the earlier end, then the later start. No
+    alignment reaches over a TAKEN word."""
+    if 0 <= diagonal <= len(doc) - len(template) and (doc[diagonal : diagonal + len(template)] == template).all():
+        return len(template), diagonal, diagonal + len(template) - 1
     width = 2 * band + 1
-    score = [(0, 0, None)] * width  # value, matched words, first place
+    low = diagonal - band
+    window = doc[max(0, low) : max(0, diagonal + len(template) + band)].tolist()
+    at_end, base = len(window), low - max(0, low)
+    value, matched, first = [0] * (width + 1), [0] * (width + 1), [-1] * (width + 1)
     best = (0, 0, 0, 0)
     for i, word in enumerate(template.tolist()):
-        row: list[tuple[int, int, int | None]] = []
+        left, left_m, left_s = 0, 0, -1
         for k in range(width):
-            p = i + diagonal - band + k
-            options = [(0, 0, None)]
-            if 0 <= p < len(doc):
-                v, m, s = score[k]
-                if doc[p] == word:
-                    options.append((v + 2, m + 1, p if s is None else s))
-                elif v > 1:
-                    options.append((v - 1, m, s))
-            if k + 1 < width and score[k + 1][0] > 1:
-                v, m, s = score[k + 1]
-                options.append((v - 1, m, s))
-            if k and row[k - 1][0] > 1:
-                v, m, s = row[k - 1]
-                options.append((v - 1, m, s))
-            top = max(options, key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2]))
-            row.append(top)
-            if top[0] > best[0]:
-                best = (top[0], top[1], top[2], p)
-        score = row
-    return best[1], best[2], best[3]
+            p = i + base + k  # place in the window
+            v, m, s = 0, 0, -1
+            if 0 <= p < at_end and (seen := window[p]) != TAKEN:
+                if seen == word:
+                    v, m = value[k] + 2, matched[k] + 1
+                    s = first[k] if matched[k] else p
+                elif value[k] > 1:
+                    v, m, s = value[k] - 1, matched[k], first[k]
+                if value[k + 1] > 1 and (value[k + 1] - 1, matched[k + 1], first[k + 1]) > (v, m, s):
+                    v, m, s = value[k + 1] - 1, matched[k + 1], first[k + 1]
+                if left > 1 and (left - 1, left_m, left_s) > (v, m, s):
+                    v, m, s = left - 1, left_m, left_s
+                if v > best[0]:
+                    best = (v, m, s, p)
+            value[k], matched[k], first[k] = left, left_m, left_s = v, m, s
+        value[width], matched[width], first[width] = 0, 0, -1
+    return best[1], best[2] + max(0, low), best[3] + max(0, low)
 
 
 def reach(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> int:
@@ -142,6 +151,67 @@ def reach(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND
     return int(hit.sum())
 
 
+def reaches(doc: np.ndarray, template: np.ndarray, diagonals: np.ndarray, band: int = BAND) -> np.ndarray:
+    """reach of each diagonal; of many diagonals and a short template all at once."""
+    if len(diagonals) < len(template):
+        return np.array([reach(doc, template, d, band) for d in diagonals.tolist()], np.int64)
+    pad = len(template) + 2 * band
+    edge = np.full(pad, TAKEN, T.U)
+    wide = np.concatenate((edge, doc, edge))
+    total = np.zeros(len(diagonals), np.int64)
+    at = np.clip(diagonals, -len(template) - band, len(doc) + band) + pad
+    for i, word in enumerate(template):
+        hit = np.zeros(len(diagonals), bool)
+        for k in range(-band, band + 1):
+            hit |= wide[at + i + k] == word
+        total += hit
+    return total
+
+
+def possible(doc: np.ndarray, template: np.ndarray, diagonals: np.ndarray, least: float, band: int = BAND) -> np.ndarray:
+    """The diagonals about which enough words of the template stand, in whatever order: words
+    are counted in windows that hold a sixteenth of the template more."""
+    if len(template) <= SHORT:
+        return diagonals
+    vocabulary, wanted = np.unique(template, return_counts=True)
+    spot = np.minimum(np.searchsorted(vocabulary, doc), len(vocabulary) - 1)
+    number = np.where(vocabulary[spot] == doc, spot, len(vocabulary))
+    step = len(template) // 16
+    cell, of = np.unique(diagonals // step, return_inverse=True)
+    held = [np.minimum(np.bincount(number[max(0, c * step - band) : max(0, (c + 1) * step + len(template) + band)], minlength=len(wanted) + 1)[:-1], wanted).sum() for c in cell.tolist()]
+    return diagonals[(np.array(held) >= least)[of]]
+
+
+def taken(doc: np.ndarray, looks: list[tuple[int, np.ndarray]], index: dict, threshold: float):
+    """(template, matched words, first, last place) of a document's matches, the best first.
+    `looks`: templates and the diagonals where they may stand."""
+    doc, heap = doc.copy(), []
+    barred = np.zeros(len(doc), bool)
+    around = lambda of, d: barred[max(0, d - BAND) : max(0, d + len(index["words"][of]) + BAND)].sum()
+
+    def offer(of: int, d: int, most: int) -> None:
+        if most >= threshold * len(index["words"][of]):
+            heapq.heappush(heap, (-most, -most / len(index["words"][of]), -1, -1, of, d, None))
+
+    for of, diagonals in looks:
+        template = index["words"][of]
+        for d, most in zip(diagonals.tolist(), reaches(doc, template, diagonals).tolist(), strict=True):
+            offer(of, d, most)
+    while heap:
+        minus, _, first, last, of, d, seen = heapq.heappop(heap)
+        template, (needed, rival) = index["words"][of], index["tells"][of]
+        if seen is None:  # not aligned yet
+            matched, first, last = align(doc, template, d)
+            held = doc[first : last + 1]
+            if matched >= threshold * len(template) and all(np.isin(x, held).any() for x in needed) and not np.isin(rival, held).any():
+                heapq.heappush(heap, (-matched, -matched / len(template), first, last, of, d, around(of, d)))
+            continue
+        if seen == around(of, d):
+            yield of, -minus, first, last
+            barred[first : last + 1], doc[first : last + 1] = True, TAKEN
+        offer(of, d, reach(doc, template, d))
+
+
 def _hashed(some: list[str]) -> np.ndarray:
     raw, offsets = T.flat(pa.array(some, pa.string()))
     return T.words(raw, offsets, T.PLAIN)[0]
@@ -159,53 +229,63 @@ def _index(templates: dict[str, str]) -> dict:
     return {"names": names, "tells": tells, "words": [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], "hash": found[order], "of": row[at][order], "place": at[order] - bounds[row[at][order]]}
 
 
+def looks(index: dict, found: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows (doc, template, diagonal), ascending, of every fingerprint that a template has too."""
+    left = np.searchsorted(index["hash"], found, "left")
+    times = np.searchsorted(index["hash"], found, "right") - left
+    some = np.flatnonzero(times)
+    left, times, doc, place = left[some], times[some], doc[some], place[some]
+    size, shift = len(index["words"]), max(map(len, index["words"]), default=0)
+    width = int(place.max(initial=0)) + shift + 1
+    parts = [np.zeros(0, np.int64)]
+    for lo, hi in T.slices(np.concatenate(([0], np.cumsum(times))), PIECE):
+        n = times[lo:hi]
+        hit = np.repeat(left[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parts.append(np.unique((np.repeat(doc[lo:hi], n) * size + index["of"][hit]) * width + np.repeat(place[lo:hi], n) - index["place"][hit] + shift))
+    pair, diagonal = np.divmod(np.unique(np.concatenate(parts)), width)
+    return np.stack((pair // size, pair % size, diagonal - shift), 1)
+
+
+def matches(index: dict, threshold: float, raw: np.ndarray, offsets: np.ndarray):
+    """(row, template, matched words, start, end in code points) of each match in a slice of texts."""
+    hashes, row, starts, ends = T.words(raw, offsets, T.PLAIN)
+    found, at = T.grams(hashes, row, GRAM)
+    kept = winnow(found, row[at], len(offsets) - 1)
+    bounds = np.searchsorted(row, np.arange(len(offsets)))
+    at = at[kept]
+    spots = looks(index, found[kept], row[at], at - bounds[row[at]])
+    cuts = np.append(np.flatnonzero(np.diff(spots[:, 0], prepend=-1)), len(spots))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        doc = int(spots[lo, 0])
+        words, where = hashes[bounds[doc] : bounds[doc + 1]], []
+        for of in np.unique(spots[lo:hi, 1]).tolist():
+            template = index["words"][of]
+            if len(words) < threshold * len(template):
+                continue
+            diagonals = spots[lo:hi, 2][spots[lo:hi, 1] == of]
+            apart = 1 + min(BAND // 2, (len(template) - 1) // 2)  # the band about one diagonal holds its neighbours
+            diagonals = diagonals[np.unique(diagonals // apart, return_index=True)[1]]
+            where.append((of, possible(words, template, diagonals, threshold * len(template))))
+        chars = None
+        for of, matched, first, last in sorted(taken(words, where, index, threshold), key=lambda x: x[2]):
+            if chars is None:
+                chars = np.concatenate(([0], np.cumsum((raw[offsets[doc] : offsets[doc + 1]] & 0xC0) != 0x80)))
+            a, b = (int(x) - int(offsets[doc]) for x in (starts[bounds[doc] + first], ends[bounds[doc] + last]))
+            yield doc, of, matched, int(chars[a]), int(chars[b])
+
+
 def _scan(index: dict, threshold: float):
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
     def each(batches):
         for batch in batches:
             docs, rows = batch.column(0), []
             raw, offsets = T.flat(batch.column(1))
-            for lo, hi in T.slices(offsets):
-                part, cuts = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                hashes, row, starts, ends = T.words(part, cuts, T.PLAIN)
-                found, at = T.grams(hashes, row, GRAM)
-                kept = winnow(found, row[at], hi - lo)
-                left = np.searchsorted(index["hash"], found[kept], "left")
-                near = np.flatnonzero(index["hash"][np.minimum(left, len(index["hash"]) - 1)] == found[kept]) if len(index["hash"]) else np.zeros(0, np.int64)
-                bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-                looks: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for i in near.tolist():
-                    place = int(at[kept[i]])
-                    j = int(left[i])
-                    while j < len(index["hash"]) and index["hash"][j] == found[kept[i]]:
-                        looks[int(row[place]), int(index["of"][j])].append(place - int(bounds[row[place]]) - int(index["place"][j]))
-                        j += 1
-                spans = defaultdict(list)
-                for (doc, of), diagonals in sorted(looks.items()):
-                    words, template = hashes[bounds[doc] : bounds[doc + 1]], index["words"][of]
-                    if len(words) < threshold * len(template):
-                        continue
-                    needed, rival = index["tells"][of]
-                    before = None
-                    for d in sorted(diagonals):
-                        if before is not None and d - before <= BAND // 2:
-                            continue  # the band about the last diagonal holds this one too
-                        before = d
-                        if reach(words, template, d) < threshold * len(template):
-                            continue
-                        matched, first, last = align(words, template, d)
-                        held = words[first : last + 1]
-                        if matched >= threshold * len(template) and all(np.isin(x, held).any() for x in needed) and not np.isin(rival, held).any():
-                            spans[doc].append((-matched, -matched / len(template), first, last, of))
-                for doc, found_here in sorted(spans.items()):
-                    taken: list[tuple[int, int]] = []
-                    for minus, share, first, last, of in sorted(found_here):
-                        if all(last < a or first > b for a, b in taken):
-                            taken.append((first, last))
-                            a, b = int(starts[bounds[doc] + first]), int(ends[bounds[doc] + last])
-                            chars = lambda to, doc=doc: int(((part[cuts[doc] : to] & 0xC0) != 0x80).sum())
-                            rows.append((docs[lo + doc].as_py(), index["names"][of], -minus, len(index["words"][of]), -share, chars(a), chars(b)))
+            for lo, hi in T.slices(offsets) if len(index["hash"]) else ():
+                for doc, of, matched, start, end in matches(index, threshold, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
+                    size = len(index["words"][of])
+                    rows.append((docs[lo + doc].as_py(), index["names"][of], matched, size, matched / size, start, end))
             if rows:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
     return each
