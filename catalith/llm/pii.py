@@ -116,12 +116,14 @@ def candidates(tokens: DataFrame) -> DataFrame:
 
 def places(found: DataFrame) -> DataFrame:
     """Base matches and the candidates that overlap none, as doc_id, digest, kind, start, end,
-    value (normalised), before, after, base. One pass along each text."""
+    value (normalised), before, after, base. One pass along each text and one back; both
+    keep a running end, so that time follows the matches of a text and not their square."""
     base = found.where("kind <> 'token'").withColumn("base", F.lit(True))
     both = base.unionByName(candidates(found.where("kind = 'token'")).withColumn("base", F.lit(False)))
     along = W.partitionBy("doc_id", "digest").orderBy("start", F.desc("base"))
     before = F.max(F.when(F.col("base"), F.col("end"))).over(along.rowsBetween(W.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("base"), F.col("start"))).over(along.rowsBetween(1, W.unboundedFollowing))
+    back = W.partitionBy("doc_id", "digest").orderBy(F.desc("start"), "base")
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
     value = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
     apart = F.col("base") | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.col("_after").isNull() | (F.col("_after") >= F.col("end"))))
     return both.withColumns({"_before": before, "_after": after}).where(apart).drop("_before", "_after").withColumn("value", value)
