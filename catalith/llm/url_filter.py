@@ -97,17 +97,26 @@ def with_suffix(features: DataFrame, statistics: DataFrame) -> DataFrame:
     return features.join(statistics, ["suffix", "fold"])
 
 
+def teaching(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """url: at most max_rows distinct URLs, those of the smallest hashes."""
+    return labelled.select("url").distinct().orderBy(F.xxhash64("url", F.lit("teach")), "url").limit(max_rows)
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
     """One row for each input row: id, host, path, rule, verdict, score (the trees'
     probability of "block"; null where there was nothing to learn).
 
-    max_rows bounds, in expectation, the labelled URLs that the trees are grown
-    on; they are chosen by a hash of the URL. Everything else covers all rows."""
-    urls = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("url")).withColumns({"host": host_of("url"), "path": path_of("url")})
-    features = lexical(apply_rules(urls, rules), "url").withColumns({
-        "label": (F.col("rule_verdict") == "block").cast("double"),
-        "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"),
-    })
+    max_rows bounds the distinct labelled URLs that the trees are grown on, those of
+    the smallest hashes, however many rows share one. Everything else covers all rows."""
+
+    def described(urls: DataFrame) -> DataFrame:
+        parts = urls.withColumns({"host": host_of("url"), "path": path_of("url")})
+        return lexical(apply_rules(parts, rules), "url").withColumns({
+            "label": (F.col("rule_verdict") == "block").cast("double"),
+            "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"),
+        })
+
+    features = described(pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("url")))
     labelled = features.where(F.col("rule").isNotNull())
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows at most
     out = [id_col, "host", "path", "rule", "verdict", "score"]
@@ -115,8 +124,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         only = "block" if 1.0 in counts else "allow"
         return features.withColumns({"verdict": F.coalesce("rule_verdict", F.lit(only)), "score": F.lit(None).cast("double")}).select(out)
     statistics = suffix_statistics(features)
-    share = min(1.0, max_rows / sum(counts.values()))
-    sample = labelled.where(F.pmod(F.xxhash64("url", F.lit("teach")), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = described(teaching(labelled, max_rows))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all").fit(vector.transform(with_suffix(sample, statistics)).select("features", "label"))
     from pyspark.ml.functions import vector_to_array
