@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from catalith.operators.similarity import cut
+
 
 def calibration(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
     """Expected calibration error over equal bins and Brier score, one row."""
@@ -15,33 +17,88 @@ def calibration(rows: DataFrame, confidence: str, correct: str, bins: int = 10)
     return b.agg((F.sum(F.abs(F.col("c") - F.col("y"))) / F.sum("n")).alias("ece"), (F.sum("s") / F.sum("n")).alias("brier"), F.sum("n").alias("rows"))
 
 
-def isotonic_knots(rows: DataFrame, x: str, y: str, grid: int = 1000) -> DataFrame:
-    """Pool-adjacent-violators fit as (x, y) block means. Rows are summed on a grid of x
-    first, so the sequential part sees at most `grid` points, whatever the input."""
-    points = rows.groupBy(F.floor(F.col(x) * grid).alias("_g")).agg(F.sum(x).alias("sx"), F.sum(y).cast("double").alias("sy"), F.count(F.lit(1)).cast("double").alias("n"))
+def range_of(points: DataFrame, at: str, parts: int) -> Column:
+    """The number of the range of `at` that a row is in: `parts` ranges by approximate quantiles."""
+    quantiles = points.approxQuantile(at, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    bounds = F.array(*[F.lit(float(q)) for q in sorted(set(quantiles))]) if quantiles else F.array().cast("array<double>")
+    return F.size(F.filter(bounds, lambda q: q <= F.col(at)))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list[float]] = []
-        for _, r in pdf.sort_values("_g").iterrows():
-            blocks.append([r.sx, r.sy, r.n])
-            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-                top = blocks.pop()
-                blocks[-1] = [a + b for a, b in zip(blocks[-1], top, strict=True)]
-        return pd.DataFrame([(a / n, b / n) for a, b, n in blocks], columns=["x", "y"])
 
-    return points.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fit, "x double, y double")
+def pooled(blocks) -> list[list]:
+    """Pool-adjacent-violators over [sum of y, weight, sum of x, places]: neighbours become one
+    while the mean of the left exceeds that of the right; equal means stay apart."""
+    out: list[list] = []
+    for block in blocks:
+        out.append(list(block))
+        while len(out) > 1 and out[-2][0] * out[-1][1] > out[-1][0] * out[-2][1]:
+            top = out.pop()
+            out[-1] = [a + b for a, b in zip(out[-1], top, strict=True)]
+    return out
 
 
-def isotonic_applied(rows: DataFrame, x: str, knots: DataFrame, name: str) -> DataFrame:
-    """Piecewise-linear reading of a bounded table of knots, constant beyond its ends."""
-    array = knots.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_k"))
-    joined = rows.crossJoin(F.broadcast(array))  # one row
-    k, v = F.col("_k"), F.col(x)
-    below = F.filter(k, lambda s: s["x"] <= v)
-    above = F.filter(k, lambda s: s["x"] > v)
-    a, b = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-    between = a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])
-    return joined.withColumn(name, F.when(F.size(below) == 0, b["y"]).when(F.size(above) == 0, a["y"]).otherwise(between)).drop("_k")
+def isotonic_knots(rows: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
+    """Isotonic fit of y (0 or 1) as (x, y) block means over distinct scores; no knots where
+    there would be fewer than two.
+
+    Scores are dealt into ranges and each range is pooled by itself. Blocks of a range that
+    follow each other with equal means are one unit for what comes next, as a violation takes
+    all of them or none; units of neighbouring ranges are then pooled, eight ranges at a time.
+    Means of units rise strictly within a range, so n outcomes make some n ** (2 / 3) units at
+    most. Blocks of units that nothing changed stay where they were made."""
+    points = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.sum(y).cast("double").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+    dealt = points.withColumn("range", range_of(points, "x", parts))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        blocks = pooled(zip(pdf["y"].tolist(), pdf["n"].tolist(), (pdf["x"] * pdf["n"]).tolist(), strict=True))
+        unit, last = [], None
+        for sy, n, _ in blocks:
+            if last is None or sy * last[1] != last[0] * n:
+                unit.append(unit[-1] + 1 if unit else 0)
+            else:
+                unit.append(unit[-1])
+            last = (sy, n)
+        return pd.DataFrame({"range": int(pdf["range"].iloc[0]), "unit": unit, "sy": [b[0] for b in blocks], "n": [b[1] for b in blocks], "sx": [b[2] for b in blocks]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["range", "unit"])
+        columns = [pdf[c].tolist() for c in ("sy", "n", "sx", "changed")]
+        out = pooled((sy, n, sx, [(i, changed)]) for i, (sy, n, sx, changed) in enumerate(zip(*columns, strict=True)))
+        first = pdf.iloc[[b[3][0][0] for b in out]]
+        return pd.DataFrame({"range": first["range"].to_numpy(), "unit": first["unit"].to_numpy(), "sy": [b[0] for b in out], "n": [b[1] for b in out], "sx": [b[2] for b in out], "changed": [len(b[3]) > 1 or b[3][0][1] for b in out]})
+
+    shape = "range int, unit long, sy double, n double, sx double"
+    blocks = cut(dealt.groupBy("range").applyInPandas(fit, shape))
+    units = blocks.groupBy("range", "unit").agg(F.sum("sy").alias("sy"), F.sum("n").alias("n"), F.sum("sx").alias("sx")).withColumn("changed", F.lit(False))
+    reach = 8
+    while reach < 8 * parts:
+        units = units.groupBy(F.floor(F.col("range") / reach).alias("_g")).applyInPandas(merge, f"{shape}, changed boolean")
+        reach *= 8
+    units = cut(units)
+    kept = blocks.join(units.where("NOT changed").select("range", "unit"), ["range", "unit"], "left_semi")
+    knots = cut(kept.unionByName(units.where("changed").drop("changed")).select((F.col("sx") / F.col("n")).alias("x"), F.least(F.greatest(F.col("sy") / F.col("n"), F.lit(0.0)), F.lit(1.0)).alias("y")))
+    return knots if len(knots.take(2)) == 2 else knots.limit(0)
+
+
+def isotonic_applied(rows: DataFrame, x: str, knots: DataFrame, name: str, parts: int = 64) -> DataFrame:
+    """Piecewise-linear reading of the knots, constant beyond its ends; the score itself where
+    there are no knots, null for a null score. Distinct scores and knots are dealt into ranges
+    together; each range brings its first and last knot to the others, so no task holds all."""
+    scores = rows.select(F.col(x).cast("double").alias("_x")).where("_x IS NOT NULL").distinct()
+    both = scores.select("_x", F.lit(None).cast("double").alias("_y")).unionByName(knots.select(F.col("x").alias("_x"), F.col("y").alias("_y")))
+    dealt = both.withColumn("_r", range_of(scores, "_x", parts))
+    knot = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
+    ends = dealt.groupBy("_r").agg(F.min(knot).alias("first"), F.max(knot).alias("last"))  # at most `parts` rows
+    order = W.orderBy("_r")
+    ends = ends.select("_r", F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    up, down = W.partitionBy("_r").orderBy("_x", F.col("_y").isNull()), W.partitionBy("_r").orderBy(F.desc("_x"), F.col("_y").isNull())
+    so_far = lambda w: F.last(knot, True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    read = dealt.withColumn("_a", so_far(up)).withColumn("_b", so_far(down)).where("_y IS NULL").join(F.broadcast(ends), "_r")
+    a, b, v = F.coalesce("_a", "_before"), F.coalesce("_b", "_after"), F.col("_x")
+    span = b["_x"] - a["_x"]
+    between = F.when(span > 0, a["_y"] + (b["_y"] - a["_y"]) * (v - a["_x"]) / F.nullif(span, F.lit(0.0))).otherwise(a["_y"])
+    value = read.select("_x", F.when(a.isNull() & b.isNull(), v).when(a.isNull(), b["_y"]).when(b.isNull(), a["_y"]).otherwise(between).alias(name))
+    return rows.withColumn("_x", F.col(x).cast("double")).join(value, "_x", "left").drop("_x")
 
 
 def temperature_fit(rows: DataFrame, raw: str, correct: str, low: float = 0.5, high: float = 5.0, step: float = 0.045) -> DataFrame:
@@ -58,9 +115,7 @@ def running(points: DataFrame, at: str, sums: list[str], descending: bool = Fals
     its total. Points are dealt into at most `parts` ranges of `at` by approximate quantiles;
     running sums are taken within each range and shifted by the sums of the ranges before it,
     so no task sorts all points."""
-    quantiles = points.approxQuantile(at, [i / parts for i in range(1, parts)], 0.25 / parts)
-    bounds = F.array(*[F.lit(float(q)) for q in sorted(set(quantiles))]) if quantiles else F.array().cast("array<double>")
-    dealt = points.withColumn("_r", F.size(F.filter(bounds, lambda q: q <= F.col(at))))
+    dealt = points.withColumn("_r", range_of(points, at, parts))
     order = lambda c: F.desc(c) if descending else F.asc(c)
     before = W.orderBy(order("_r")).rowsBetween(W.unboundedPreceding, -1)
     ranges = dealt.groupBy("_r").agg(*[F.sum(c).alias(f"_{c}") for c in sums])  # at most `parts` rows

@@ -123,16 +123,42 @@ def with_hash(base: DataFrame, vector: str) -> DataFrame:
     return base.withColumn("bits", sign_bits(vector))
 
 
+def band_radii(radius: int, bands: int) -> list[int]:
+    """How far each band may differ: hashes within `radius` bits agree that far in one band at
+    least, as the radii and one more for each band add up to radius + 1. -1: not looked at."""
+    return [(radius + 1 + i) // bands - 1 for i in range(bands)]
+
+
+def hash_pairs(hashes: DataFrame, bits: str, radius: int, width: int = 64, band: int = 16) -> DataFrame:
+    """(x, y, distance) of distinct hashes x < y that differ in at most `radius` bits, exactly,
+    by multi-index hashing: the hash is cut into wide bands; of each band of x, all values within
+    the band's radius are looked up among the bands of the others. A pair is kept in the first
+    band that finds it, so no distinct follows. Values to look up grow as binomials of band and
+    radius / bands: some 700 for each band at radius 14 of 64."""
+    bands = -(-width // band)
+    radii = band_radii(radius, bands)
+    values = lambda n: [m for m in range(1 << band) if m.bit_count() <= n]
+    part = lambda x, i: F.shiftrightunsigned(x, band * i).bitwiseAND(F.lit((1 << band) - 1)).cast("int")
+    one = hashes.select(F.col(bits).alias("x")).distinct()
+    masks = hashes.sparkSession.createDataFrame([(i, m) for i, n in enumerate(radii) for m in values(n)], "band int, mask int").coalesce(1)
+    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part(F.col("x"), i).alias("value")) for i, n in enumerate(radii) if n >= 0]))
+    there = one.select("x", spots.alias("s")).select(F.col("x").alias("y"), "s.band", "s.value")
+    asked = one.select("x", spots.alias("s")).select("x", "s.band", "s.value").join(F.broadcast(masks), "band")  # a literal table
+    met = asked.select("x", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).join(there, ["band", "value"]).where("x < y")
+    earlier = F.lit(False)
+    for i, n in enumerate(radii):
+        earlier = earlier | ((F.col("band") > i) & (F.bit_count(part(F.col("x").bitwiseXOR(F.col("y")), i)) <= n))
+    return met.where(~earlier).select("x", "y", hamming("x", "y").alias("distance")).where(F.col("distance") <= radius)
+
+
 def hamming_near(base: DataFrame, key: str, bits: str, radius: int, width: int = 64) -> DataFrame:
-    """Pairs (a < b) whose hashes differ in at most `radius` bits, exactly: the hash is cut
-    into radius + 1 bands, of which similar hashes share at least one whole."""
-    bands = radius + 1
-    cuts = [width * i // bands for i in range(bands + 1)]
-    part = lambda i: F.concat_ws(":", F.lit(i), F.shiftrightunsigned(F.shiftleft(F.col(bits), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]))
-    rows = base.select(key, bits, F.explode(F.array(*[part(i) for i in range(bands)])).alias("_band"))
-    left, right = rows.toDF("a", "_x", "_band"), rows.toDF("b", "_y", "_band")
-    near = left.join(right, "_band").where("a < b").withColumn("distance", hamming("_x", "_y")).where(F.col("distance") <= radius)
-    return near.select("a", "b", "distance").distinct()
+    """Pairs (a < b) whose hashes differ in at most `radius` bits, exactly: pairs of distinct
+    hashes, and the rows that share one."""
+    rows = base.select(F.col(key).alias("key"), F.col(bits).alias("bits")).where("bits IS NOT NULL")
+    side = lambda k, h: rows.toDF(k, h)
+    apart = hash_pairs(rows, "bits", radius, width).join(side("i", "x"), "x").join(side("j", "y"), "y")
+    equal = side("i", "x").join(side("j", "x"), "x").where("i < j").select("i", "j", F.lit(0).alias("distance"))
+    return apart.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").unionByName(equal.toDF("a", "b", "distance"))
 
 
 def classified_pairs(pairs: DataFrame, same: str, bits: str, distance: str, most_bits: int = 4, most: float = 0.03, far: float = 1.0) -> DataFrame:

@@ -39,9 +39,20 @@ def ece_brier(t):
     return M.calibration(scored(t), "p", "quality").select(F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"), "rows")
 
 
-@query("isotonic_apply")
+@query("isotonic_apply", f"""
+WITH s AS (SELECT doc_id, quality, round(p, 9) AS x FROM ({SCORED})),
+d AS (SELECT x, sum(quality)::DOUBLE AS y, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY x) AS i FROM s GROUP BY x),
+c AS (SELECT *, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM d),
+m AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON b.i >= a.i),
+lo AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS mean FROM m),
+f AS (SELECT b AS i, max(mean) AS fit FROM lo GROUP BY b),
+t AS (SELECT c.*, fit, abs(cy - sum(fit * n) OVER (ORDER BY c.i)) < 1e-6 AS ends FROM c JOIN f USING (i)),
+g AS (SELECT *, coalesce(sum(ends::INT) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM t),
+k AS (SELECT sum(x * n) / sum(n) AS kx, sum(y) / sum(n) AS ky FROM g GROUP BY block),
+e AS (SELECT s.doc_id, x, max(kx) FILTER (kx <= x) AS ax, arg_max(ky, kx) FILTER (kx <= x) AS ay, min(kx) FILTER (kx >= x) AS bx, arg_min(ky, kx) FILTER (kx >= x) AS "by" FROM s, k GROUP BY 1, 2)
+SELECT doc_id, round(CASE WHEN ax IS NULL THEN "by" WHEN bx IS NULL OR bx <= ax THEN ay ELSE ay + ("by" - ay) * (x - ax) / (bx - ax) END, 6) AS calibrated FROM e""")
 def isotonic_apply(t):
-    s = scored(t)
+    s = scored(t).withColumn("p", F.round("p", 9))
     return M.isotonic_applied(s, "p", M.isotonic_knots(s, "p", "quality"), "calibrated").select("doc_id", F.round("calibrated", 6).alias("calibrated"))
 
 
