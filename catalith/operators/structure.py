@@ -6,16 +6,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 
-def short_runs_merged(rows: DataFrame, group: str, at: str, key: str, kind: str, least: int) -> DataFrame:
-    """Adds `segment`: runs of equal `kind` in order, those of fewer than `least` rows taken in
-    by the segment before them; a group's first run stands in any case."""
+def short_runs_merged(rows: DataFrame, group: str, at: str, key: str, kind: str, least: int, shortest: int, support: str | None = None, distinct: float = 0.25) -> DataFrame:
+    """Adds `segment`: runs of equal `kind` in order. A run stands by itself if it has at least
+    `least` rows and lasts `shortest`, or if its mean support is at least `distinct` and its kind
+    is not that of the run before it that stands; the rest is taken in by the segment before.
+    A group's first run stands in any case. Without `support`, only length counts.
+
+    Whether the run before stands decides what its kind is compared with, so runs (not rows)
+    are gone through in order; the kind of a segment is that of most of its rows, the smaller of
+    equals. With `support` a group's runs, one narrow row each, pass through one task."""
     order = W.partitionBy(group).orderBy(at, key)
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     new = F.coalesce((F.lag(kind).over(order) != F.col(kind)).cast("int"), F.lit(1))
     runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(so_far))
-    size = F.count(F.lit(1)).over(W.partitionBy(group, "_run"))
-    opens = (F.col("_new") == 1) & ((F.col("_run") == 1) | (F.col("_size") >= least))
-    return runs.withColumn("_size", size).withColumn("segment", F.sum(opens.cast("int")).over(so_far)).drop("_new", "_run", "_size")
+    mean = F.avg(support) if support else F.lit(0.0)
+    each = runs.groupBy(group, "_run").agg(F.first(kind).alias("_kind"), F.count(F.lit(1)).alias("_n"), (F.max(at) - F.min(at)).alias("_lasts"), mean.alias("_support"))
+    kinds = dict(each.dtypes)
+    stands = (F.col("_n") >= least) & (F.col("_lasts") >= shortest)
+
+    def one(pdf):
+        pdf = pdf.sort_values("_run")
+        segment, opens, held = 0, [], {}
+        for kind_, n, long_enough, mean_ in zip(pdf["_kind"], pdf["_n"], pdf["_stands"], pdf["_support"], strict=True):
+            now = min(held, key=lambda k: (-held[k], k)) if held else None
+            if now is None or long_enough or (support and kind_ != now and mean_ >= distinct):
+                segment, held = segment + 1, {}
+            held[kind_] = held.get(kind_, 0) + n
+            opens.append(segment)
+        return pdf[[group, "_run"]].assign(segment=opens)
+
+    if support:
+        numbered = each.withColumn("_stands", stands).groupBy(group).applyInPandas(one, f"`{group}` {kinds[group]}, _run long, segment long")
+    else:
+        opens = F.when(stands | (F.col("_run") == 1), 1).otherwise(0)
+        numbered = each.select(group, "_run", F.sum(opens).over(W.partitionBy(group).orderBy("_run").rowsBetween(W.unboundedPreceding, 0)).alias("segment"))
+    return runs.join(numbered, [group, "_run"]).drop("_new", "_run")
 
 
 def levels(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
@@ -35,11 +60,14 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
 
 
 def capped_influence(rows: DataFrame, group: str, most: float) -> DataFrame:
-    """group, rows and weight: a group holding more than `most` of all rows is weighed down to
-    that share of them."""
+    """group, rows and weight: a group with a larger share of all rows than the cap is weighed
+    down until its share of the weighed rows is the cap: weight x rows = cap / (1 - cap) x the
+    other rows. The cap is never below an equal share of the groups."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.sum("rows").alias("_all"))
-    weight = F.least(F.lit(1.0), F.lit(most) * F.col("_all") / F.col("rows"))
+    total = sizes.agg(F.sum("rows").alias("_all"), F.greatest(F.lit(most), 1 / F.count(F.lit(1))).alias("_cap"))
+    share, cap = F.col("rows") / F.col("_all"), F.col("_cap")
+    held = cap * (F.col("_all") - F.col("rows")) / (F.nullif(1 - cap, F.lit(0.0)) * F.col("rows"))
+    weight = F.when((share > cap + 1e-6) & (cap < 1), F.least(F.lit(1.0), held)).otherwise(1.0)
     return sizes.crossJoin(F.broadcast(total)).select(group, "rows", weight.alias("weight"))  # one row
 
 

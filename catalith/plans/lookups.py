@@ -135,11 +135,16 @@ def support_bundle(t):
 
 
 @query("short_run_merge", """
-WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events), n AS (SELECT *, CASE WHEN lag(event_type) OVER o = event_type THEN 0 ELSE 1 END AS new FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM n), s AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS size FROM r)
-SELECT event_id, sum(CASE WHEN new = 1 AND (run = 1 OR size >= 2) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id)::BIGINT AS segment FROM s""")
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us FROM events), n AS (SELECT *, CASE WHEN lag(event_type) OVER o = event_type THEN 0 ELSE 1 END AS new FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM n),
+g AS MATERIALIZED (SELECT user_id, run, list_position(['click', 'error', 'purchase', 'signup', 'view'], any_value(event_type)) AS kind, count(*) AS n, count(*) >= 2 AND max(us) - min(us) >= 43200000000 AS long, avg(value / 100) AS support FROM r GROUP BY ALL),
+s AS (SELECT user_id, run, 1::BIGINT AS segment, list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN k = kind THEN n ELSE 0 END) AS held FROM g WHERE run = 1
+UNION ALL SELECT g.user_id, g.run, s.segment + x.opens::INT, list_transform([1, 2, 3, 4, 5], lambda k: (CASE WHEN x.opens THEN 0 ELSE s.held[k] END) + CASE WHEN k = kind THEN n ELSE 0 END) FROM s JOIN g ON g.user_id = s.user_id AND g.run = s.run + 1, LATERAL (SELECT long OR (kind <> list_position(s.held, list_max(s.held)) AND support >= 0.6) AS opens) x)
+SELECT event_id, segment FROM r JOIN s USING (user_id, run)""")
 def short_run_merge(t):
-    return R.short_runs_merged(timed(t("events")), "user_id", "us", "event_id", "event_type", 2).select("event_id", "segment")
+    """Runs of one kind stand if they have two rows over half a day, or a kind of their own with enough support."""
+    rows = timed(t("events")).withColumn("support", F.col("value") / 100)
+    return R.short_runs_merged(rows, "user_id", "us", "event_id", "event_type", 2, 43_200_000_000, "support", 0.6).select("event_id", "segment")
 
 
 @query("dag_levels", """
@@ -153,7 +158,8 @@ def dag_levels(t):
 
 
 @query("capped_influence", """
-SELECT lang, count(*) AS rows, round(least(1.0, 0.2 * sum(count(*)) OVER () / count(*)), 6) AS weight FROM documents GROUP BY 1""")
+WITH g AS (SELECT lang, count(*) AS rows FROM documents GROUP BY 1), a AS (SELECT *, sum(rows) OVER () AS every, greatest(0.2, 1 / count(*) OVER ()) AS cap FROM g)
+SELECT lang, rows, round(CASE WHEN rows / every > cap + 1e-6 AND cap < 1 THEN least(1.0, cap * (every - rows) / ((1 - cap) * rows)) ELSE 1 END, 6) AS weight FROM a""")
 def capped_influence(t):
     return R.capped_influence(t("documents"), "lang", 0.2).select("lang", "rows", F.round("weight", 6).alias("weight"))
 
