@@ -13,8 +13,8 @@ fall into their groups (blank texts normalise to one space); a null doc_id
 never stays while its group has any other id; repeated rows are counted as
 rows; extra columns of the input are ignored; an empty table gives no rows. Where
 whole rows are kept, of rows of one id and one normalised text the one with the
-smallest raw text stays (null first), then the one with the smallest hash of all its
-columns (maps as JSON), so the order of the input does not matter.
+smallest 64-bit hash of all its columns stays (maps as JSON), so the order of the
+input does not matter.
 """
 
 from __future__ import annotations
@@ -64,15 +64,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns, whatever their names; of rows of one id and one
-    normalised text the smallest, see above. The kept ids are found on narrow columns; the texts
+    normalised text one, see above. The kept ids are found on narrow columns; the texts
     move once, dealt by id, so no hot group moves with its texts."""
     stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).distinct()
     keys = {"key": F.coalesce("id", F.xxhash64("sha")), "none": F.col("id").isNull()}
     hashable = [F.to_json(docs[f.name]) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(*hashable).alias("tie"), F.col(id_col).alias("id"), F.col(text_col).alias("raw"), F.sha2(normalised(text_col), 256).alias("sha"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(*hashable).alias("tie"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha"))
     on = ["key", "none", "sha"]
     kept = rows.withColumns(keys).drop("id").join(stays.withColumns(keys).drop("id").hint("shuffle_hash"), on)
-    return kept.groupBy(*on).agg(F.min_by("row", F.struct("raw", "tie")).alias("row")).select("row.*")
+    return kept.groupBy(*on).agg(F.min_by("row", "tie").alias("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -44,16 +44,17 @@ BAR = "|"
 
 
 class Words:
-    """Ids of texts by way of their words; remembers up to REMEMBER words, in two halves: when
+    """Ids of texts by way of their words; remembers up to `remember` words, in two halves: when
     the newer one is full, the older one goes. A word is looked up lower-cased in A-Z and
     without the punctuation that closes it, which the tokenizer splits off in any case."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.half = remember // 2
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.bar = self._encode([BAR])[0]
@@ -67,9 +68,9 @@ class Words:
         unseen = list(words.difference(found))
         for at in range(0, len(unseen), 256):
             found.update(self._learn(unseen[at : at + 256]))
-        if len(self.known) + len(found) > REMEMBER // 2:
+        if len(self.known) + len(found) > self.half:
             self.older, self.known = self.known, {}
-        if len(found) <= REMEMBER // 2:
+        if len(found) <= self.half:
             self.known.update(found)
         return found
 
@@ -103,9 +104,9 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> Words:
+def _words(path: str, remember: int) -> Words:
     """One table of words for each tokenizer and worker process; tasks of a worker share it."""
-    return Words(path)
+    return Words(path, remember)
 
 
 def fill(lengths: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
@@ -177,15 +178,16 @@ def windows(sizes: list[int], capacity: int = WINDOW) -> Iterator[list[tuple[int
         yield out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, remember: int = REMEMBER) -> DataFrame:
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    Each worker process remembers up to `remember` words, of some 150 bytes each."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def each(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        words, end = _words(tokenizer), np.array([END_ID], "<u4").tobytes()
+        words, end = _words(tokenizer, remember), np.array([END_ID], "<u4").tobytes()
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         kinds = [to_arrow_type(docs_type)] + [pa.int64()] * 6
 
