@@ -39,7 +39,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.tokenizer_path())
+    """Workers stay alive between stages, so they remember fewer words than the query's."""
+    return packing.pack(docs, packing.tokenizer_path(), remember=300_000)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("jaccard_join", near), ("decontaminate", benchmark), ("packing", pack)]
