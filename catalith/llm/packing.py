@@ -48,13 +48,13 @@ class Words:
     the newer one is full, the older one goes. A word is looked up lower-cased in A-Z and
     without the punctuation that closes it, which the tokenizer splits off in any case."""
 
-    def __init__(self, path: str, remember: int = REMEMBER):
+    def __init__(self, path: str, remember: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.half = remember // 2
+        self.half = (REMEMBER if remember is None else remember) // 2
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.bar = self._encode([BAR])[0]
