@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from catalith.functions.columns import clamp, upper_element
+from catalith.operators.metrics import range_of
+from catalith.operators.similarity import cut
 
 
 def cadence_windows(rows: DataFrame, group: str, at: str, key: str, around: int, scale: float, low: float, high: float) -> DataFrame:
@@ -58,6 +60,14 @@ def change_signal(rows: DataFrame, group: str, at: str, key: str, value: str, ki
     return s.withColumn("signal", F.when(F.col("_gap").isNull(), 0.0).otherwise(0.5 * F.col("_dv") / 100 / F.sqrt(F.greatest("_gap", F.lit(1.0))) + 0.35 * F.col("_dk") + 0.15 * F.least(F.ln(1 + F.col("_gap")) / F.lit(12.0), F.lit(1.0)))).drop("_gap", "_dv", "_dk")
 
 
+#: Log scores are whole multiples of 1 / FINE, so that sums do not depend on how they are cut.
+FINE = 1 << 20
+
+
+def fine(scores: np.ndarray) -> np.ndarray:
+    return np.rint(scores * FINE).astype(np.int64)
+
+
 def viterbi(scores: np.ndarray, transition: np.ndarray) -> list[int]:
     """Best path for log scores of each step and state from a uniform start; ties: the lower state."""
     best, back = scores[0].copy(), []
@@ -71,6 +81,31 @@ def viterbi(scores: np.ndarray, transition: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+def block_product(scores: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Best score of a block from each state before it (rows) to each state at its end."""
+    best = transition + scores[0]
+    for step in scores[1:]:
+        best = (best[:, :, None] + transition[None]).max(1) + step
+    return best
+
+
+def block_paths(scores: np.ndarray, transition: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(paths, entries): for each state at a block's end the best states along it, and the state
+    before it (-1 for a group's first block), given the best scores before it."""
+    n, states = scores.shape
+    back = np.full((n, states), -1)
+    best = scores[0].copy()
+    for i in range(n):
+        if i or before is not None:
+            reach = (best if i else before)[:, None] + transition
+            back[i], best = reach.argmax(0), reach.max(0) + scores[i]
+    paths = np.empty((n, states), np.int64)
+    paths[-1] = np.arange(states)
+    for i in range(n - 1, 0, -1):
+        paths[i - 1] = back[i][paths[i]]
+    return paths, back[0][paths[0]]
+
+
 def chain_transition(states: int, stay: float = 0.8, forward: float = 0.14, back: float = 0.04, other: float = 0.02) -> np.ndarray:
     """Log transition matrix of an ordered chain whose last state is `other`: forward and
     backward mass falls with distance; rows sum to one."""
@@ -88,19 +123,79 @@ def chain_transition(states: int, stay: float = 0.8, forward: float = 0.14, back
     return np.log(np.maximum(m / m.sum(1, keepdims=True), 1e-12))
 
 
-def viterbi_smoothed(rows: DataFrame, group: str, at: str, key: str, state: str, states: list[str], trust: float = 0.6) -> DataFrame:
-    """Most likely state of each row of its group's chain; observations carry `trust` on the
-    observed state. One group is one sequence: its rows are bounded by what a group holds."""
-    transition, index = chain_transition(len(states)), {s: i for i, s in enumerate(states)}
+def long_groups(rows: DataFrame, group: str, block: int) -> tuple[DataFrame, int]:
+    """(group, _n) of groups of more than `block` rows, and their rows together."""
+    large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    return large, int(large.agg(F.sum("_n")).first()[0] or 0)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, key], kind="stable")
-        seen = np.full((len(pdf), len(states)), np.log((1 - trust) / (len(states) - 1)))
-        seen[np.arange(len(pdf)), pdf[state].map(index).to_numpy()] = np.log(trust)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "smoothed": [states[i] for i in viterbi(seen, transition)]})
 
+def viterbi_smoothed(rows: DataFrame, group: str, at: str, key: str, state: str, states: list[str], trust: float = 0.6, block: int = 4096) -> DataFrame:
+    """Most likely state of each row of its group's chain; observations carry `trust` on the
+    observed state; of equally likely paths, the lowest states from the end.
+
+    Groups of more than `block` rows are cut into blocks of a range of `at`, of ranges that hold
+    about `block` rows of all such groups. A block is first one matrix of best scores between
+    the state before it and that at its end; a group's matrices are multiplied in order (max,
+    plus), which gives the best scores before each block; with those each block finds its path
+    for every state at its end, and the state before it; the states at the ends are then read
+    off from the last block to the first. Only matrices and states of a long group, one row for
+    each block, meet in one task."""
+    transition, index = fine(chain_transition(len(states))), {s: i for i, s in enumerate(states)}
+    n, (low, high) = len(states), fine(np.log([(1 - trust) / (len(states) - 1), trust])).tolist()
     kinds = dict(rows.dtypes)
-    return rows.select(group, at, key, state).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {key} {kinds[key]}, smoothed string")
+    g, k = f"`{group}` {kinds[group]}", f"`{key}` {kinds[key]}"
+
+    def scores(pdf: pd.DataFrame) -> np.ndarray:
+        seen = np.full((len(pdf), n), low, np.int64)
+        seen[np.arange(len(pdf)), pdf[state].map(index).to_numpy()] = high
+        return seen
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = scores(pdf.sort_values([at, key], kind="stable"))
+        alone = seen[:1] if len(seen) == 1 else None
+        first = seen[0] if alone is not None else (seen[0][:, None] + block_product(seen[1:], transition)).max(0)
+        return pd.DataFrame({group: pdf[group].iloc[:1], "block": pdf["block"].iloc[:1], "first": [first.tolist()], "product": [block_product(seen, transition).ravel().tolist()]})
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, best, out = pdf.sort_values("block"), None, []
+        for first, matrix in zip(pdf["first"], pdf["product"], strict=True):
+            out.append(None if best is None else best.tolist())
+            best = np.asarray(first) if best is None else (best[:, None] + np.asarray(matrix).reshape(n, n)).max(0)
+        return pd.DataFrame({group: pdf[group], "block": pdf["block"], "before": out, "last": [*[None] * (len(out) - 1), int(best.argmax())]}).astype({"last": "Int32"})
+
+    def paths(_, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([at, key], kind="stable")
+        start = given["before"].iloc[0]
+        ways, entries = block_paths(scores(pdf), transition, None if start is None else np.asarray(start))
+        return pd.DataFrame({group: pdf[group], key: pdf[key], "block": pdf["block"], "ways": ways.tolist(), "entries": [entries.tolist(), *[None] * (len(pdf) - 1)]})
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ascending=False)
+        end, out = int(pdf["last"].iloc[0]), []
+        for entries in pdf["entries"]:
+            out.append(end)
+            end = int(entries[end])
+        return pd.DataFrame({group: pdf[group], "block": pdf["block"], "end": out})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([at, key], kind="stable")
+        return pd.DataFrame({group: pdf[group], key: pdf[key], "smoothed": [states[i] for i in viterbi(scores(pdf), transition)]})
+
+    rows = rows.select(group, at, key, state)
+    large, size = long_groups(rows, group, block)
+    short = rows.join(large, group, "left_anti") if size else rows
+    done = short.groupBy(group).applyInPandas(whole, f"{g}, {k}, smoothed string")
+    if not size:
+        return done
+    long_ = rows.join(large.select(group), group, "left_semi")
+    dealt = long_.withColumn("block", range_of(long_, at, -(-size // block)))
+    by = [group, "block"]
+    products = dealt.groupBy(*by).applyInPandas(product, f"{g}, block int, first array<long>, product array<long>")
+    given = cut(products.groupBy(group).applyInPandas(before, f"{g}, block int, before array<long>, last int"))
+    ways = cut(dealt.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(paths, f"{g}, {k}, block int, ways array<int>, entries array<int>"))
+    exits = ways.where("entries IS NOT NULL").select(*by, "entries").join(given.select(*by, "last"), by).groupBy(group).applyInPandas(ends, f"{g}, block int, end int")
+    names = F.array(*[F.lit(s) for s in states])
+    return done.unionByName(ways.join(exits, by).select(group, key, F.get(names, F.get("ways", F.col("end"))).alias("smoothed")))
 
 
 def change_points(signal: np.ndarray, penalty: float) -> list[int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -88,9 +89,24 @@ def running_budget(t):
     return granted(t("orders").where("o_totalprice > 0"), ["o_custkey"], ["o_orderpriority", "o_orderkey"], "o_totalprice", 1_000_000.0).select("o_orderkey", F.round("granted", 6).alias("granted"))
 
 
-@query("viterbi_smooth")
+STATES = ["signup", "view", "click", "purchase", "error"]
+TRANSITION = S.fine(S.chain_transition(len(STATES))).tolist()
+SEEN = S.fine(np.log([(1 - 0.6) / (len(STATES) - 1), 0.6])).tolist()
+
+
+@query("viterbi_smooth", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, list_position({STATES}, event_type) AS o, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+m AS (SELECT {TRANSITION} AS t),
+f AS (SELECT user_id, event_id, i, list_transform([1, 2, 3, 4, 5], lambda j: CASE WHEN j = o THEN {SEEN[1]} ELSE {SEEN[0]} END::BIGINT) AS s, [0, 0, 0, 0, 0]::BIGINT[] AS back FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_id, e.i, list_transform([1, 2, 3, 4, 5], lambda j: list_max(list_transform([1, 2, 3, 4, 5], lambda k: f.s[k] + t[k][j])) + CASE WHEN j = o THEN {SEEN[1]} ELSE {SEEN[0]} END)::BIGINT[],
+  list_transform([1, 2, 3, 4, 5], lambda j: list_position(list_transform([1, 2, 3, 4, 5], lambda k: f.s[k] + t[k][j]), list_max(list_transform([1, 2, 3, 4, 5], lambda k: f.s[k] + t[k][j]))))::BIGINT[]
+  FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1, m),
+w AS MATERIALIZED (SELECT * FROM f),
+b AS (SELECT user_id, event_id, i, back, list_position(s, list_max(s))::BIGINT AS state FROM w QUALIFY i = max(i) OVER (PARTITION BY user_id)
+UNION ALL SELECT w.user_id, w.event_id, w.i, w.back, b.back[b.state] FROM b JOIN w ON w.user_id = b.user_id AND w.i = b.i - 1)
+SELECT user_id, event_id, {STATES}[state] AS smoothed FROM b""")
 def viterbi_smooth(t):
-    return S.viterbi_smoothed(timed(t("events")), "user_id", "us", "event_id", "event_type", ["signup", "view", "click", "purchase", "error"])
+    return S.viterbi_smoothed(timed(t("events")), "user_id", "us", "event_id", "event_type", STATES)
 
 
 @query("pelt_segments")
