@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,54 +11,69 @@ from catalith.functions.columns import hamming, sign_bits
 from catalith.sources.tables import shared_folder
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """The k nearest base rows of each query row by cosine distance, itself excluded; ties by
-    key. The query set is cut into blocks of `block` rows; each block meets every base
-    partition once, where one matrix product and a partial top-k stand for all its pairs, so
-    k rows leave for each query and partition instead of one for each pair."""
-    def closest(ids, there, distance):
-        order = np.lexsort((np.broadcast_to(there, distance.shape), distance), axis=1)[:, :k]
+    key. Of a block of queries and a block of base rows, one matrix product and a partial top-k
+    stand for all pairs, so k rows leave for each query and block."""
+
+    def closest(here, there, distance):
+        ids = there[key].to_numpy(np.int64)
+        order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
         best = np.take_along_axis(distance, order, 1)
         keep = np.isfinite(best)
-        return np.repeat(ids, keep.sum(1)), there[order][keep], best[keep]
+        return pd.DataFrame({key: np.repeat(here[key].to_numpy(), keep.sum(1)), "neighbour": ids[order][keep], "distance": best[keep]})
 
-    found = _against_all(queries, base, key, vector, block, closest)
+    found = against_all(queries, base, key, vector, closest, f"`{key}` long, neighbour long, distance double", block)
     ranked = found.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("distance", "neighbour")))
     return ranked.where(F.col("place") <= k)
 
 
-def within_radius(queries: DataFrame, base: DataFrame, key: str, vector: str, radius: float, block: int = 1024) -> DataFrame:
-    """Every base row within a cosine distance of each query row, itself excluded."""
+def within_radius(queries: DataFrame, base: DataFrame, key: str, vector: str, radius: float, block: int = 4096) -> DataFrame:
+    """key, hits, nearest: how many base rows lie within a cosine distance of each query row that
+    has any, itself excluded, and the distance of the nearest. Counted where pairs are compared."""
 
-    def hits(ids, there, distance):
-        i, j = np.nonzero(distance <= radius)
-        return ids[i], there[j], distance[i, j]
+    def hits(here, there, distance):
+        return pd.DataFrame({key: here[key], "hits": (distance <= radius).sum(1), "nearest": distance.min(1)}).query("hits > 0")
 
-    return _against_all(queries, base, key, vector, block, hits)
+    found = against_all(queries, base, key, vector, hits, f"`{key}` long, hits long, nearest double", block)
+    return found.groupBy(key).agg(F.sum("hits").alias("hits"), F.min("nearest").alias("nearest"))
 
 
-def _against_all(queries: DataFrame, base: DataFrame, key: str, vector: str, block: int, pick) -> DataFrame:
-    """key, neighbour, distance: what `pick` leaves of each block of queries and base batch."""
-    shares = max(1, -(-queries.count() // block))
-    kinds = f"{key} long, neighbour long, distance double"
-    parts = [base.sparkSession.createDataFrame([], kinds)]
-    for share in range(shares):
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(shares)) == share).select(key, vector).toPandas()
-        if len(part):
-            parts.append(base.select(key, vector).mapInPandas(_compare(part[key].to_numpy(np.int64), np.stack(part[vector].to_numpy()).astype(np.float64), key, vector, pick), kinds))
-    return reduce(DataFrame.unionByName, parts)
+def swept(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, thresholds: list[float], block: int = 4096) -> DataFrame:
+    """threshold, named (base rows within it of the queries) and right (those of the query's label)."""
 
+    def counts(here, there, distance):
+        same = here[label].to_numpy()[:, None] == there[label].to_numpy()[None, :]
+        return pd.DataFrame([(t, int((distance <= t).sum()), int(((distance <= t) & same).sum())) for t in thresholds], columns=["threshold", "named", "right"])
 
-def _compare(ids: np.ndarray, matrix: np.ndarray, key: str, vector: str, pick):
-    def each(frames):
-        for pdf in frames:
-            if len(pdf):
-                there, other = pdf[key].to_numpy(np.int64), np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                distance = np.round(np.clip(1 - matrix @ other.T, 0, 2), 9)
-                distance[ids[:, None] == there[None, :]] = np.inf
-                yield pd.DataFrame(dict(zip((key, "neighbour", "distance"), pick(ids, there, distance), strict=True)))
+    found = against_all(queries, base, key, vector, counts, "threshold double, named long, right long", block, (label,))
+    return found.groupBy("threshold").agg(F.sum("named").alias("named"), F.sum("right").alias("right"))
+
+
+def against_all(queries: DataFrame, base: DataFrame, key: str, vector: str, pick, shape: str, block: int = 4096, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A stated query set against all base rows, exactly: both are dealt into blocks of about
+    `block` rows by a hash of their keys, each block of queries meets each block of base rows in
+    a task of its own, and `pick` turns their distances (rows: queries; infinite for itself)
+    into rows of `shape`. Nothing passes through the driver, and vectors are copied once for
+    each block of the other side, against which they bring `block` products."""
+    parts = lambda df: max(1, -(-df.count() // block))
+    asked, held = parts(queries), parts(base)
+    dealt = lambda df, mine, n, other, m: df.select(key, vector, *extra, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def met(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(here) and len(there):
+            matrix, other = (np.stack(x[vector].to_numpy()).astype(np.float64) for x in (here, there))
+            for at in range(0, len(here), 512):
+                some = here.iloc[at : at + 512]
+                distance = np.round(np.clip(1 - matrix[at : at + 512] @ other.T, 0, 2), 9)
+                distance[some[key].to_numpy()[:, None] == there[key].to_numpy()[None, :]] = np.inf
+                out.append(pick(some, there, distance))
+        return pd.concat(out) if out else pd.DataFrame(columns=[x.strip().split()[0].strip("`") for x in shape.split(",")])
 
-    return each
+    left = dealt(queries, "_q", asked, "_b", held).groupBy("_q", "_b")
+    right = dealt(base, "_b", held, "_q", asked).withColumnsRenamed({"_b": "_held", "_q": "_asked"}).groupBy("_asked", "_held")
+    return left.cogroup(right).applyInPandas(met, shape)
 
 
 def within(base: DataFrame, key: str, vector: str, radius: float, planes: int = 8, tables: int = 12, seed: int = 9) -> DataFrame:

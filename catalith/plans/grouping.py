@@ -99,17 +99,13 @@ SELECT threshold, round(2 * sum(CASE WHEN d <= threshold THEN same ELSE 0 END) /
 def threshold_sweep(t):
     """A stated query set, every fiftieth vector, against all vectors; how many pairs of one
     label there are comes from the labels' sizes."""
-    from catalith.operators.similarity import within_radius
+    from catalith.operators.similarity import swept
 
     base = t("embeddings")
-    queries = base.where("vec_id % 50 = 0")
-    hits = within_radius(queries, base, "vec_id", "embedding", 0.9)
-    label = lambda n, name: base.select(F.col("vec_id").alias(n), F.col("label").alias(name))
-    pairs = hits.join(label("vec_id", "_a"), "vec_id").join(label("neighbour", "_b"), "neighbour").withColumn("same", (F.col("_a") == F.col("_b")).cast("int"))
+    found = swept(base.where("vec_id % 50 = 0"), base, "vec_id", "embedding", "label", [0.6, 0.7, 0.8, 0.9])
     sizes = base.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("others"), F.count_if(F.col("vec_id") % 50 == 0).alias("asked"))
     real = sizes.agg(F.sum(F.col("others") * F.col("asked")).alias("real"))
-    swept = G.threshold_sweep(pairs.crossJoin(F.broadcast(real)), "distance", "same", [0.6, 0.7, 0.8, 0.9], F.max("real"))  # one row
-    return swept.select("threshold", F.round("f1", 6).alias("f1"))
+    return found.crossJoin(F.broadcast(real)).select("threshold", F.round(2 * F.col("right") / F.nullif(F.col("named") + F.col("real"), F.lit(0)), 6).alias("f1"))  # one row
 
 
 @query("ranker_fit")
