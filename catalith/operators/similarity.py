@@ -212,36 +212,42 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, key: str = "nod
     return found if nodes is None else nodes.select(key).distinct().join(found, key, "left").withColumn("root", F.coalesce("root", key))
 
 
-def agglomerated(base: DataFrame, group: str, key: str, vector: str, limit: float = 0.55, cohesion: float = 2.2, floor: float = 0.12) -> DataFrame:
+def merge_closest(sums: np.ndarray, sizes: np.ndarray, spread: np.ndarray, limit: float, cohesion: float, floor: float) -> np.ndarray:
+    """Label (place) of each of some clusters given by sums of unit vectors, sizes and spreads
+    (changed here): the closest pair is merged again and again."""
+    label = np.arange(len(sums))
+    link = 1 - (sums @ sums.T) / np.outer(sizes, sizes)
+    np.fill_diagonal(link, np.inf)
+    while len(sums) > 1 and np.isfinite(best := link.min()) and best <= limit:
+        a, b = divmod(int(link.argmin()), len(sums))
+        a, b = min(a, b), max(a, b)
+        if best > cohesion * max(spread[a], spread[b], floor):
+            link[a, b] = link[b, a] = np.inf
+            continue
+        sums[a] += sums[b]
+        sizes[a] += sizes[b]
+        spread[a] = max(1 - float(sums[a] @ sums[a]) / sizes[a] ** 2, 0)
+        label[label == b] = a
+        row = 1 - (sums @ sums[a]) / (sizes * sizes[a])
+        row[np.isin(np.arange(len(sums)), label, invert=True)] = np.inf
+        row[a] = np.inf
+        link[a], link[:, a], link[b], link[:, b] = row, row, np.inf, np.inf
+    return label
+
+
+def agglomerated(base: DataFrame, group: str, key: str, vector: str, limit: float = 0.55, cohesion: float = 2.2, floor: float = 0.12, weight: str | None = None) -> DataFrame:
     """Average-linkage clusters of each group of bounded size: the closest pair of clusters is
     merged while its linkage is within the limit and within cohesion times the wider of the
-    two spreads (at least `floor`)."""
+    two spreads (at least `floor`). A row counts `weight` times."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        sums, sizes, label = m.copy(), np.ones(len(m)), np.arange(len(m))
-        link = 1 - sums @ sums.T
-        np.fill_diagonal(link, np.inf)
-        spread = np.zeros(len(m))
-        while len(m) > 1 and np.isfinite(best := link.min()) and best <= limit:
-            a, b = divmod(int(link.argmin()), len(m))
-            a, b = min(a, b), max(a, b)
-            if best > cohesion * max(spread[a], spread[b], floor):
-                link[a, b] = link[b, a] = np.inf
-                continue
-            sums[a] += sums[b]
-            sizes[a] += sizes[b]
-            spread[a] = max(1 - float(sums[a] @ sums[a]) / sizes[a] ** 2, 0)
-            label[label == b] = a
-            row = 1 - (sums @ sums[a]) / (sizes * sizes[a])
-            row[np.isin(np.arange(len(m)), label, invert=True)] = np.inf
-            row[a] = np.inf
-            link[a], link[:, a], link[b], link[:, b] = row, row, np.inf, np.inf
+        sizes = np.array(pdf[weight], float) if weight else np.ones(len(pdf))
+        label = merge_closest(np.stack(pdf[vector].to_numpy()).astype(np.float64) * sizes[:, None], sizes, np.zeros(len(pdf)), limit, cohesion, floor)
         return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": pdf[key].to_numpy()[label]})
 
     kinds = dict(base.dtypes)
-    return base.select(group, key, vector).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster {kinds[key]}")
+    return base.select(group, key, vector, *([weight] if weight else [])).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster {kinds[key]}")
 
 
 def assigned(base: DataFrame, centres: DataFrame, key: str, vector: str, ceiling: float, margin: float) -> DataFrame:
