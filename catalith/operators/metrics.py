@@ -17,11 +17,15 @@ def calibration(rows: DataFrame, confidence: str, correct: str, bins: int = 10)
     return b.agg((F.sum(F.abs(F.col("c") - F.col("y"))) / F.sum("n")).alias("ece"), (F.sum("s") / F.sum("n")).alias("brier"), F.sum("n").alias("rows"))
 
 
-def range_of(points: DataFrame, at: str, parts: int) -> Column:
-    """The number of the range of `at` that a row is in: `parts` ranges by approximate quantiles."""
+def range_bounds(points: DataFrame, at: str, parts: int) -> Column:
+    """An array of the bounds of `parts` ranges of `at`, by approximate quantiles."""
     quantiles = points.approxQuantile(at, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    bounds = F.array(*[F.lit(float(q)) for q in sorted(set(quantiles))]) if quantiles else F.array().cast("array<double>")
-    return F.size(F.filter(bounds, lambda q: q <= F.col(at)))
+    return F.array(*[F.lit(float(q)) for q in sorted(set(quantiles))]) if quantiles else F.array().cast("array<double>")
+
+
+def range_of(points: DataFrame, at: str, parts: int) -> Column:
+    """The number of the range of `at` that a row is in."""
+    return F.size(F.filter(range_bounds(points, at, parts), lambda q: q <= F.col(at)))
 
 
 def pooled(blocks) -> list[list]:

@@ -8,18 +8,79 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from catalith.functions.columns import clamp, upper_element
-from catalith.operators.metrics import range_of
+from catalith.operators.metrics import range_bounds, range_of
 from catalith.operators.similarity import cut
 
 
-def cadence_windows(rows: DataFrame, group: str, at: str, key: str, around: int, scale: float, low: float, high: float) -> DataFrame:
+def sweep_medians(times: np.ndarray, values: np.ndarray, asked: np.ndarray, around: int) -> np.ndarray:
+    """For each asked time (ascending) the upper median of the values at times (ascending) within
+    `around` of it; NaN without any. Values enter and leave a tree of counts by rank, so each
+    costs a logarithm, however many are in reach."""
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(1, n + 1)
+    rank, tree, top = rank.tolist(), [0] * (n + 1), 1 << max(n, 1).bit_length() - 1
+
+    def add(i: int, by: int) -> None:
+        while i <= n:
+            tree[i] += by
+            i += i & -i
+
+    first = np.searchsorted(times, asked - around, "left").tolist()
+    last = np.searchsorted(times, asked + around, "right").tolist()
+    out, lo, hi = np.full(len(asked), np.nan), 0, 0
+    for j, (a, b) in enumerate(zip(first, last, strict=True)):
+        for i in range(hi, b):
+            add(rank[i], 1)
+        for i in range(lo, a):
+            add(rank[i], -1)
+        lo, hi = a, b
+        if b > a:
+            want, at, step = (b - a) // 2, 0, top
+            while step:
+                if at + step <= n and tree[at + step] <= want:
+                    at += step
+                    want -= tree[at]
+                step >>= 1
+            out[j] = values[order[at]]
+    return out
+
+
+def rolling_upper_medians(rows: DataFrame, group: str, at: str, key: str, value: str, around: int, block: int = 4096) -> DataFrame:
+    """group, key and median: of each row of groups of more than `block` rows, the upper median of
+    the values of its group within `around`. Ranges of `at` of about `block` rows are swept apart;
+    each also has the rows of other ranges that lie within its reach."""
+    large, size = long_groups(rows, group, block)
+    kinds = dict(rows.dtypes)
+    some = rows.select(group, at, key, value).join(large.select(group), group, "left_semi")
+    bounds = range_bounds(some, at, max(1, -(-size // block)))
+    place = lambda x: F.size(F.filter(bounds, lambda q: q <= x))
+    near = some.select("*", place(F.col(at)).alias("_own"), F.explode(F.sequence(place(F.col(at) - around), place(F.col(at) + around))).alias("_range"))
+
+    def swept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, kind="stable")
+        known, mine = pdf[pdf[value].notna()], pdf[pdf["_own"] == pdf["_range"]]
+        found = sweep_medians(known[at].to_numpy(), known[value].to_numpy(float), mine[at].to_numpy(), around)
+        return pd.DataFrame({group: mine[group], key: mine[key], "median": found}).astype({"median": "Float64"})
+
+    return near.groupBy(group, "_range").applyInPandas(swept, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, median double")
+
+
+def cadence_windows(rows: DataFrame, group: str, at: str, key: str, around: int, scale: float, low: float, high: float, block: int = 4096) -> DataFrame:
     """Adaptive session window of each row: `scale` times the upper median of the forward gaps
-    whose left row lies within `around`, clamped; `high` where there is none."""
+    whose left row lies within `around`, clamped; `high` where there is none. Groups of at most
+    `block` rows gather the gaps of a window; larger ones are swept, see rolling_upper_medians."""
     order = W.partitionBy(group).orderBy(at, key)
     gaps = rows.withColumn("gap", F.greatest(F.lead(at).over(order) - F.col(at), F.lit(0)))
     near = W.partitionBy(group).orderBy(at).rangeBetween(-around, around)
-    median = upper_element(F.collect_list("gap").over(near), 1, 2)
-    return gaps.withColumn("window", clamp(F.coalesce(median * scale, F.lit(high)), low, high))
+    large, size = long_groups(rows, group, block)
+    windowed = lambda df, median: df.withColumn("window", clamp(F.coalesce(median * scale, F.lit(high)), low, high))
+    short = windowed(gaps.join(large.select(group), group, "left_anti") if size else gaps, upper_element(F.collect_list("gap").over(near), 1, 2))
+    if not size:
+        return short
+    medians = rolling_upper_medians(gaps, group, at, key, "gap", around, block)
+    return short.unionByName(windowed(gaps.join(medians, [group, key]), F.col("median")).drop("median"))
 
 
 def sessions(rows: DataFrame, group: str, at: str, key: str, breaks: Column) -> DataFrame:
