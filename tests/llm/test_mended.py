@@ -94,7 +94,7 @@ def test_license_scan_of_awkward_rows(spark):
 
 
 def test_pii_takes_time_with_the_matches_of_a_text(spark):
-    texts = ["1." * 100_000 + "1", " ".join(f"10.0.{i % 256}.{i % 200}" for i in range(100_000)), " ".join(f"n{i}@x.org 1{i}-5" for i in range(20_000))]
+    texts = ["1." * 30_000 + "1", " ".join(f"10.0.{i % 256}.{i % 200}" for i in range(100_000)), " ".join(f"n{i}@x.org 1{i}-5" for i in range(20_000))]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
     began = time.monotonic()
     got = {r["doc_id"]: r for r in pii.pii(docs, everywhere=True).collect()}
