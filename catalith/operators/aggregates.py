@@ -64,10 +64,14 @@ def counts_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     return n.groupBy(key).agg(F.to_json(F.map_from_entries(pairs)).alias("counts"))
 
 
-def digest_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """A digest of each group's rows that does not depend on their order: the sum of 64-bit
-    row hashes and the number of rows; combined map-side."""
-    return rows.groupBy(*keys).agg(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("digest"), F.count(F.lit(1)).alias("rows"))
+def ordered_digest(rows: DataFrame, keys: list[str], order: str, line: Column, span: int = 4096) -> DataFrame:
+    """keys, digest and rows: a SHA-256 over each group's lines in the order of a whole number.
+    Lines are digested by spans of that number, and a group's digest is that of its spans', so
+    a task gathers the lines of one span or one digest for each span of a group."""
+    part = F.floor(F.col(order) / span)
+    joined = lambda a: F.sha2(F.array_join(F.transform(F.array_sort(a), lambda s: s["line"]), "\n"), 256)
+    spans = rows.select(*keys, order, part.alias("_part"), line.alias("line")).groupBy(*keys, "_part").agg(joined(F.collect_list(F.struct(order, "line"))).alias("line"), F.count(F.lit(1)).alias("_n"))
+    return spans.groupBy(*keys).agg(joined(F.collect_list(F.struct("_part", "line"))).alias("digest"), F.sum("_n").alias("rows"))
 
 
 def vector_mean(rows: DataFrame, key: str, vector: str) -> DataFrame:

@@ -140,9 +140,14 @@ def counts_map(t):
     return A.counts_map(t("events"), "user_id", "event_type")
 
 
-@query("group_digest", None)
+@query("group_digest", """
+WITH l AS (SELECT o_orderstatus, o_orderkey, o_orderkey // 4096 AS part, concat_ws('|', o_orderkey, o_custkey, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT)) AS line FROM orders),
+p AS (SELECT o_orderstatus, part, sha256(string_agg(line, chr(10) ORDER BY o_orderkey, line)) AS line, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT o_orderstatus, sha256(string_agg(line, chr(10) ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY 1""")
 def group_digest(t):
-    return A.digest_of(t("orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey", "o_totalprice"])
+    """Equal digests: the same orders of a status, in the same order."""
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderpriority")], F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))
+    return A.ordered_digest(t("orders"), ["o_orderstatus"], "o_orderkey", line)
 
 
 @query("group_max_normalised", """

@@ -180,11 +180,13 @@ def training_pairs(t):
 
 
 @query("quality_gates", """
-WITH c AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, max(k) / sum(k)::DOUBLE AS top FROM (SELECT source, lang, count(*) OVER (PARTITION BY source, lang) AS k FROM documents) GROUP BY 1)
-SELECT source, n, n >= 30 AND langs >= 3 AS passes FROM c""")
+WITH c AS (SELECT source, sum(k)::BIGINT AS n, count(*) AS langs, max(k) / sum(k) AS top FROM (SELECT source, lang, count(*) AS k FROM documents GROUP BY 1, 2) GROUP BY 1)
+SELECT source, n, langs, round(top, 6) AS top, n >= 30 AND langs >= 3 AND top <= 0.65 AS passes FROM c""")
 def quality_gates(t):
-    g = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("langs"))
-    return g.select("source", "n", ((F.col("n") >= 30) & (F.col("langs") >= 3)).alias("passes"))
+    """Enough rows, enough classes, and no class with nearly all of them."""
+    each = t("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("k"))
+    g = each.groupBy("source").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("langs"), (F.max("k") / F.sum("k")).alias("top"))
+    return g.select("source", "n", "langs", F.round("top", 6).alias("top"), ((F.col("n") >= 30) & (F.col("langs") >= 3) & (F.col("top") <= 0.65)).alias("passes"))
 
 
 @query("majority_verdict", """
