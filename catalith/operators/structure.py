@@ -48,6 +48,7 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
     the node. Each round moves one step along the edges and is cut in the checkpoint folder."""
     from catalith.operators.similarity import cut
 
+    edges = cut(edges.select("a", "b"))
     inner = edges.select(F.col("b").alias("node")).distinct()
     front = cut(nodes.select("node").distinct().join(inner, "node", "left_anti"))
     found = front.withColumn("level", F.lit(0))
