@@ -25,3 +25,11 @@ def test_levels_of_a_graph_of_many_rounds(spark):
     for i in range(700):
         want[i] = max([want[i // n] + 1 for n in (2, 5) if i >= n], default=0)
     assert got == want
+
+
+def test_a_radius_is_not_widened_by_rounding(spark):
+    """0.7500000003 is not within 0.75, and 0.1234549997 is 0.12345 to five places."""
+    at = lambda d: [1 - d, float(np.sqrt(1 - (1 - d) ** 2))]
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, at(0.7500000003)), (2, at(0.1234549997)), (3, at(1.9))], "id long, v array<double>")
+    got = [tuple(r) for r in similarity.within_radius(rows.where("id = 0"), rows, "id", "v", 0.75).withColumn("nearest", F.round("nearest", 5)).collect()]
+    assert got == [(0, 1, 0.12345)]
