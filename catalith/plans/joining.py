@@ -50,8 +50,8 @@ s AS (SELECT user_id AS segment, min(us) AS s0, min(us) + 36 * 3600000000 AS s1
 SELECT segment, count(*) AS events, count(DISTINCT e.user_id) AS users FROM e JOIN s ON us BETWEEN s0 AND s1 GROUP BY 1""")
 def range_join_segments(t):
     e = timed(t("events")).select("event_id", "user_id", "event_type", "us")
-    s = e.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("segment")).agg(F.min("us").alias("s0"), (F.min("us") + 36 * HOUR).alias("s1"))
-    return J.range_join(e, "us", s, "s0", "s1", 36 * HOUR).groupBy("segment").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+    s = e.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("segment")).agg(F.min("us").alias("s0"))
+    return J.window_counts(e, "us", "user_id", s, "segment", "s0", 36 * HOUR).withColumnsRenamed({"rows": "events", "members": "users"})
 
 
 @query("asof_window", """

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.operators import similarity, structure
+from catalith.operators import joins, similarity, structure
 
 
 def test_what_a_loop_cuts_hands_no_constraints_on(spark):
@@ -33,3 +33,14 @@ def test_a_radius_is_not_widened_by_rounding(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, at(0.7500000003)), (2, at(0.1234549997)), (3, at(1.9))], "id long, v array<double>")
     got = [tuple(r) for r in similarity.within_radius(rows.where("id = 0"), rows, "id", "v", 0.75).withColumn("nearest", F.round("nearest", 5)).collect()]
     assert got == [(0, 1, 0.12345)]
+
+
+def test_windows_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 9)) if rng.random() < 0.9 else None, int(rng.integers(-300, 900))) for _ in range(400)]
+    ranges = [(i, int(s)) for i, s in enumerate(rng.integers(-400, 1000, 60))]
+    made = joins.window_counts(spark.createDataFrame(rows, "m long, t long"), "t", "m", spark.createDataFrame(ranges, "r long, s long"), "r", "s", 100)
+    want = {r: [(m, t) for m, t in rows if s <= t <= s + 100] for r, s in ranges}
+    assert {r["r"]: (r["rows"], r["members"]) for r in made.collect()} == {r: (len(x), len({m for m, _ in x} - {None})) for r, x in want.items()}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "_x" in plan and "<=" not in plan  # no range condition, so no pair
