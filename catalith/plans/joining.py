@@ -81,11 +81,9 @@ one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY reaction ORDER B
 SELECT action, reaction, bonus, row_number() OVER (PARTITION BY action ORDER BY bonus DESC, reaction) AS place FROM one
 QUALIFY row_number() OVER (PARTITION BY action ORDER BY bonus DESC, reaction) <= 4""")
 def reaction_link(t):
-    e = timed(t("events").where("event_type IN ('purchase', 'view')"))
-    near = J.band_pairs(e, "event_id", "us", 600_000_000, carry=["user_id", "event_type", "value"]).where("a_user_id <> b_user_id AND a_event_type <> b_event_type")
-    first = F.col("a_event_type") == "purchase"
-    value = F.when(first, F.col("b_value")).otherwise(F.col("a_value"))
-    pairs = near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("action"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("reaction"), F.round((1 - F.col("gap") / 600000000.0) * value, 6).alias("bonus"))
+    e = timed(t("events"))
+    kind = lambda name: e.where(F.col("event_type") == name)
+    pairs = J.best_partners(kind("purchase"), kind("view"), "event_id", "us", "user_id", "value", 600_000_000)
     return J.greedy_links(pairs, "action", "reaction", "bonus", 4).select("action", "reaction", "bonus", F.col("place").cast("long").alias("place"))
 
 

@@ -44,3 +44,17 @@ def test_windows_are_counted_without_pairs(spark):
     assert {r["r"]: (r["rows"], r["members"]) for r in made.collect()} == {r: (len(x), len({m for m, _ in x} - {None})) for r, x in want.items()}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "_x" in plan and "<=" not in plan  # no range condition, so no pair
+
+
+def test_best_partners_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    made = lambda n, first: [(first + i, int(rng.integers(0, 4000)) // 7 * 7, int(rng.integers(0, 4)), float(rng.choice([0.0, 0.001, 3.0, 41.5, -2.0, -0.003]))) for i in range(n)]
+    actions, reactions = made(150, 0), [*made(200, 1000), (2000, 50, None, 1.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, t long, u long, v double")
+    got = {r["reaction"]: (r["action"], r["bonus"]) for r in joins.best_partners(frame(actions), frame(reactions), "k", "t", "u", "v", 60).collect()}
+    want = {}
+    for k, t, u, v in reactions[:-1]:
+        near = [(-round((1 - abs(t - s) / 60) * v, 6), a) for a, s, w, _ in actions if w != u and abs(t - s) <= 60]
+        if near:
+            want[k] = (min(near)[1], -min(near)[0])
+    assert got == want and len(want) > 100
