@@ -58,3 +58,18 @@ def test_best_partners_are_those_of_all_pairs(spark):
         if near:
             want[k] = (min(near)[1], -min(near)[0])
     assert got == want and len(want) > 100
+
+
+def test_no_task_of_a_wide_radius_sees_more_than_two_blocks(spark):
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 300)
+    hashes[200:] = hashes[:100] ^ (1 << rng.integers(0, 63, 100))
+    rows = spark.createDataFrame([(int(x),) for x in hashes], "x long").distinct()
+    pairs = similarity.block_pairs(rows, 14, block=60)
+    assert pairs.rdd.getNumPartitions() >= 15  # five blocks meet pair by pair
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    ids = [int(x) for x in hashes]
+    want = sorted((a, b, apart(a, b)) for a in ids for b in ids if a < b and apart(a, b) <= 14)
+    assert sorted(tuple(r) for r in pairs.collect()) == want and len(want) >= 100
+    assert "cogroup" in similarity.hash_pairs(rows, "x", 14)._jdf.queryExecution().toString().lower()
+    assert "cogroup" not in similarity.hash_pairs(rows, "x", 5)._jdf.queryExecution().toString().lower()
