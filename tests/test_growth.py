@@ -73,3 +73,18 @@ def test_no_task_of_a_wide_radius_sees_more_than_two_blocks(spark):
     assert sorted(tuple(r) for r in pairs.collect()) == want and len(want) >= 100
     assert "cogroup" in similarity.hash_pairs(rows, "x", 14)._jdf.queryExecution().toString().lower()
     assert "cogroup" not in similarity.hash_pairs(rows, "x", 5)._jdf.queryExecution().toString().lower()
+
+
+def test_keys_of_a_cascade_are_taken_in_one_pass(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(x):
+        seen.add(1)
+        return x[0]
+
+    left = spark.createDataFrame([(1, "aa"), (3, "ab"), (5, "cc"), (7, "d")], "k long, t string")
+    right = spark.createDataFrame([(2, "aa"), (4, "ac"), (6, "cd")], "o long, t string")
+    got = joins.match_cascade(left, right, "k", "o", [("whole", [F.col("t")]), ("first", [key("t")])])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, "whole"), (3, 2, "first"), (5, 6, "first")]
+    assert sorted(tuple(r) for r in got.collect()) and seen.value == 7
