@@ -21,16 +21,18 @@ RIDGE, HUBER, FLOOR = 0.1, 1.345, 1e-4
 def upper_medians(rows: DataFrame, by: list[str], value: str, bins: int = 4096) -> DataFrame:
     """by and median: element n // 2 (from 0) of each group's values in order, exactly. A first
     pass counts values in bins between a group's ends, the second looks into the one bin where
-    that element lies, over its distinct values. Null values are left out."""
+    that element lies, over its distinct values. Null values are left out. Tables of one row for
+    each group are cut, so that their size is known before the rows meet them: else all rows of
+    a group would travel to one task."""
     some = rows.where(F.col(value).isNotNull())
-    ends = some.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.floor(F.count(F.lit(1)) / 2).alias("_rank"))
+    ends = cut(some.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.floor(F.count(F.lit(1)) / 2).alias("_rank")))
     span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     place = F.least(F.coalesce(F.floor((F.col(value) - F.col("_lo")) / span * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     binned = some.select(*by, value).join(ends, by).withColumn("_bin", place)
     before = lambda keys, order: F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     holds = lambda df: df.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
     counts = binned.groupBy(*by, "_bin", "_rank").agg(F.count(F.lit(1)).alias("_n"))  # `bins` rows of a group at most
-    spot = holds(counts.withColumn("_before", before(by, "_bin"))).select(*by, "_bin", (F.col("_rank") - F.col("_before")).alias("_rank"))
+    spot = cut(holds(counts.withColumn("_before", before(by, "_bin"))).select(*by, "_bin", (F.col("_rank") - F.col("_before")).alias("_rank")))
     within = binned.drop("_rank").join(spot, [*by, "_bin"]).groupBy(*by, value, "_rank").agg(F.count(F.lit(1)).alias("_n"))
     return holds(within.withColumn("_before", before(by, value))).select(*by, F.col(value).alias("median"))
 

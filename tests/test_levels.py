@@ -91,3 +91,10 @@ def test_short_runs_are_merged_in_order(spark, support):
             else:
                 segments[-1] += run
         assert all(got[u, r[1]] == n for n, s in enumerate(segments, 1) for r in s)
+
+
+def test_medians_move_no_row_by_its_group(spark):
+    rows = spark.range(2_000_000).selectExpr("id % 3 AS g", "double(id) AS v")
+    made = levels.upper_medians(rows, ["g"], "v")
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r["g"]: r["median"] for r in made.collect()} == {0: 999_999.0, 1: 1_000_000.0, 2: 1_000_001.0}
