@@ -88,3 +88,20 @@ def test_keys_of_a_cascade_are_taken_in_one_pass(spark, tmp_path):
     got = joins.match_cascade(left, right, "k", "o", [("whole", [F.col("t")]), ("first", [key("t")])])
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2, "whole"), (3, 2, "first"), (5, 6, "first")]
     assert sorted(tuple(r) for r in got.collect()) and seen.value == 7
+
+
+def test_pairs_are_made_and_counted_in_as_many_parts_as_rows_need(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(g) if g < 90 else None, int(m) if m else None) for g, m in zip(rng.integers(0, 95, 900), rng.integers(0, 12, 900), strict=True)]
+    table = spark.createDataFrame(rows, "g long, m long").repartition(3)
+    held = {}
+    for g, m in rows:
+        held.setdefault(g, set()).add(m)
+    want = {(a, b): n for a in range(1, 12) for b in range(a + 1, 12) if (n := sum(g is not None and {a, b} <= s for g, s in held.items()))}
+    made = joins.cooccurrence(table, "g", "m")
+    assert {(r["a"], r["b"]): r["together"] for r in made.collect()} == want
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    sets, parts = joins.group_sets(table, ["g"], "m", share=100)
+    pairs = joins.counted_pairs(sets, parts, [], {"together": F.lit(1)})
+    assert parts == 9 and pairs.rdd.getNumPartitions() == 9  # not those of the session
+    assert {(r["a"], r["b"]): r["together"] for r in pairs.collect()} == want
