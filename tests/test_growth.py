@@ -105,3 +105,10 @@ def test_pairs_are_made_and_counted_in_as_many_parts_as_rows_need(spark):
     pairs = joins.counted_pairs(sets, parts, [], {"together": F.lit(1)})
     assert parts == 9 and pairs.rdd.getNumPartitions() == 9  # not those of the session
     assert {(r["a"], r["b"]): r["together"] for r in pairs.collect()} == want
+
+
+def test_companions_make_pairs_without_a_join(spark, sf):
+    from catalith.plans import catalog
+
+    plan = catalog.QUERIES["companions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
