@@ -112,3 +112,11 @@ def test_companions_make_pairs_without_a_join(spark, sf):
 
     plan = catalog.QUERIES["companions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" in plan
+
+
+def test_components_of_pairs_of_more_parts_than_the_session_has(spark):
+    rows = spark.createDataFrame([(g, m) for g in range(40) for m in ((g % 4) * 2, (g % 4) * 2 + 1)], "g long, m long")
+    sets, parts = joins.group_sets(rows, ["g"], "m", share=10)
+    edges = joins.counted_pairs(sets, parts, [], {"together": F.lit(1)}).where("together >= 10")
+    assert parts == 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["node"]: r["root"] for r in similarity.components(edges).collect()} == {m: m // 2 * 2 for m in range(8)}
