@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalith.functions import coding
 from catalith.operators import contests as C
-from catalith.operators.joins import cooccurrence
+from catalith.operators.joins import counted_pairs, group_sets
+from catalith.operators.similarity import cut
 from catalith.plans.registry import query
 
 IDENTITIES = """w AS (SELECT s_nationkey AS g, l_suppkey AS id, l_orderkey, l_quantity, l_returnflag, l_linestatus, l_discount FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
@@ -19,16 +20,19 @@ def evidence(t):
     """Suppliers are identities, those of a nation a project, orders frames."""
     lines = t("lineitem").select("l_suppkey", "l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
     rows = lines.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("g")), "l_suppkey").withColumnRenamed("l_suppkey", "id")
-    orders = lambda c: F.countDistinct(F.when(c, F.col("l_orderkey")))
-    identities = rows.groupBy("g", "id").agg(
-        F.countDistinct("l_orderkey").alias("frames"), F.round(F.avg("l_quantity"), 6).alias("area"), orders(F.col("l_returnflag") == "R").alias("scenes"),
-        orders((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")).alias("ceremony"), F.round(F.avg("l_discount") * 10, 6).alias("centrality"))
-    inside = rows.select("g", "l_orderkey", "id").distinct()
-    size = inside.groupBy("g", "l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # An identity's lines of an order are one row, so that nothing is counted distinct.
+    seen = lambda c: F.coalesce(F.max(c), F.lit(False)) & F.col("l_orderkey").isNotNull()
+    each = rows.groupBy("g", "id", "l_orderkey").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("l_quantity", "l_discount") for n, f in (("sum", F.sum), ("n", F.count))],
+        seen(F.col("l_returnflag") == "R").alias("scene"), seen((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")).alias("rite"))
+    mean = lambda c: F.sum(f"sum_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))
+    identities = each.groupBy("g", "id").agg(
+        F.count("l_orderkey").alias("frames"), F.round(mean("l_quantity"), 6).alias("area"), F.count_if("scene").alias("scenes"),
+        F.count_if("rite").alias("ceremony"), F.round(mean("l_discount") * 10, 6).alias("centrality"))
     # An order holds a few suppliers of a nation; its pairs are made there and counted.
-    held = inside.join(size, ["g", "l_orderkey"])
-    pairs = held.withColumnRenamed("id", "a").join(held.drop("n").withColumnRenamed("id", "b"), ["g", "l_orderkey"]).where("a < b")
-    return identities, pairs.groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("n") == 2).alias("portraits"))
+    sets, parts = group_sets(rows, ["g", "l_orderkey"], "id")
+    pairs = counted_pairs(sets, parts, ["g"], {"frames": F.lit(1), "portraits": (F.col("_size") == 2).cast("int")})
+    return cut(identities), cut(pairs)  # both are read several times
 
 
 @query("identity_roles", f"""

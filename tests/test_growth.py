@@ -120,3 +120,10 @@ def test_components_of_pairs_of_more_parts_than_the_session_has(spark):
     edges = joins.counted_pairs(sets, parts, [], {"together": F.lit(1)}).where("together >= 10")
     assert parts == 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {r["node"]: r["root"] for r in similarity.components(edges).collect()} == {m: m // 2 * 2 for m in range(8)}
+
+
+def test_evidence_of_roles_counts_nothing_distinct(spark, sf):
+    from catalith.plans import catalog
+
+    plan = catalog.QUERIES["identity_roles"](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "lineitem" not in plan.lower() and "l_suppkey" not in plan  # identities and pairs are cut, and read
