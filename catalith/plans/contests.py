@@ -20,17 +20,17 @@ def evidence(t):
     """Suppliers are identities, those of a nation a project, orders frames."""
     lines = t("lineitem").select("l_suppkey", "l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
     rows = lines.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("g")), "l_suppkey").withColumnRenamed("l_suppkey", "id")
-    # An identity's lines of an order are one row, so that nothing is counted distinct.
+    # An order holds a few suppliers of a nation; its pairs are made there and counted.
+    sets, parts = group_sets(rows, ["g", "l_orderkey"], "id")
+    # Orders are dealt by size first; an identity's lines of one are one row, so that nothing is counted distinct.
     seen = lambda c: F.coalesce(F.max(c), F.lit(False)) & F.col("l_orderkey").isNotNull()
-    each = rows.groupBy("g", "id", "l_orderkey").agg(
+    each = rows.repartition(parts, "l_orderkey").groupBy("g", "id", "l_orderkey").agg(
         *[f(c).alias(f"{n}_{c}") for c in ("l_quantity", "l_discount") for n, f in (("sum", F.sum), ("n", F.count))],
         seen(F.col("l_returnflag") == "R").alias("scene"), seen((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")).alias("rite"))
     mean = lambda c: F.sum(f"sum_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))
     identities = each.groupBy("g", "id").agg(
         F.count("l_orderkey").alias("frames"), F.round(mean("l_quantity"), 6).alias("area"), F.count_if("scene").alias("scenes"),
         F.count_if("rite").alias("ceremony"), F.round(mean("l_discount") * 10, 6).alias("centrality"))
-    # An order holds a few suppliers of a nation; its pairs are made there and counted.
-    sets, parts = group_sets(rows, ["g", "l_orderkey"], "id")
     pairs = counted_pairs(sets, parts, ["g"], {"frames": F.lit(1), "portraits": (F.col("_size") == 2).cast("int")})
     return cut(identities), cut(pairs)  # both are read several times
 
