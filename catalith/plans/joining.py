@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from catalith.operators import joins as J
 from catalith.plans.registry import query
@@ -111,8 +110,7 @@ e AS (SELECT a.s AS a, b.s AS b, count(*) AS n FROM o a JOIN o b ON a.l_orderkey
 d AS (SELECT a AS node, b AS neighbour, n FROM e UNION ALL SELECT b, a, n FROM e)
 SELECT node, neighbour, n AS together FROM d QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, neighbour) <= 3""")
 def companions(t):
-    edges = J.both_directions(J.cooccurrence(t("lineitem"), "l_orderkey", "l_suppkey"), "together")
-    return edges.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy(F.desc("together"), "neighbour"))).where("i <= 3").drop("i")
+    return J.companions(t("lineitem"), "l_orderkey", "l_suppkey", 3)
 
 
 @query("match_cascade", r"""

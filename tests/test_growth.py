@@ -114,6 +114,35 @@ def test_companions_make_pairs_without_a_join(spark, sf):
     assert "Join" not in plan and "Window" in plan
 
 
+def test_companions_are_dealt_in_as_many_parts_as_rows_need(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), int(m)) for g, m in zip(rng.integers(0, 200, 900), rng.integers(0, 15, 900), strict=True)]
+    held, together = {}, {}
+    for g, m in rows:
+        held.setdefault(g, set()).add(m)
+    for s in held.values():
+        for a in s:
+            for b in s - {a}:
+                together[a, b] = together.get((a, b), 0) + 1
+    want = {(a, b, n) for a in range(15) for n, b in sorted(((n, b) for (x, b), n in together.items() if x == a), key=lambda e: (-e[0], e[1]))[:3]}
+    best = joins.companions(spark.createDataFrame(rows, "g long, m long"), "g", "m", 3, share=100)
+    assert best.rdd.getNumPartitions() == 9  # not those of the session
+    assert {tuple(r) for r in best.collect()} == want and len(want) == 45
+
+
+def test_both_directions_of_an_edge_are_made_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 7)], "a long, b long, n long").select("a", same("b").alias("b"), "n")
+    assert sorted(tuple(r) for r in joins.both_directions(edges, "n").collect()) == [(1, 2, 5), (2, 1, 5), (2, 3, 7), (3, 2, 7)]
+    assert seen.value == 2
+
+
 def test_components_of_pairs_of_more_parts_than_the_session_has(spark):
     rows = spark.createDataFrame([(g, m) for g in range(40) for m in ((g % 4) * 2, (g % 4) * 2 + 1)], "g long, m long")
     sets, parts = joins.group_sets(rows, ["g"], "m", share=10)
