@@ -151,6 +151,19 @@ def test_components_of_pairs_of_more_parts_than_the_session_has(spark):
     assert {r["node"]: r["root"] for r in similarity.components(edges).collect()} == {m: m // 2 * 2 for m in range(8)}
 
 
+def test_components_make_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (9, 8)], "a long, b long").select("a", same("b").alias("b"))
+    assert {r["node"]: r["root"] for r in similarity.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
+    assert seen.value == 4
+
+
 def test_evidence_of_roles_counts_nothing_distinct(spark, sf):
     from catalith.plans import catalog
 
