@@ -1,5 +1,6 @@
 """What must not grow faster than the input: plans of loops, pairs, and tasks."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,20 @@ def test_components_of_pairs_of_more_parts_than_the_session_has(spark):
     assert {r["node"]: r["root"] for r in similarity.components(edges).collect()} == {m: m // 2 * 2 for m in range(8)}
 
 
+def test_suppliers_that_share_one_order_are_one_component(spark, tmp_path):
+    from catalith.plans import catalog
+
+    lines = [(o, s) for o, suppliers in enumerate(([5, 2, 9], [9, 7], [4, 3], [3, 3], [6, None], [8])) for s in suppliers]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 10).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["node"], r["root"]) for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 2), (5, 2), (7, 2), (9, 2), (3, 3), (4, 3), (6, 6), (8, 8)}
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == set(con.sql(catalog.SQL["components"]).fetchall())
+
+
 def test_components_make_their_edges_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
