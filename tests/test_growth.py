@@ -1,11 +1,14 @@
 """What must not grow faster than the input: plans of loops, pairs, and tasks."""
 
+import os
+
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.operators import joins, similarity, structure
+from catalith.operators import joins, linkage, similarity, structure
 
 
 def test_what_a_loop_cuts_hands_no_constraints_on(spark):
@@ -184,3 +187,60 @@ def test_evidence_of_roles_counts_nothing_distinct(spark, sf):
 
     plan = catalog.QUERIES["identity_roles"](spark, sf)._jdf.queryExecution().analyzed().toString()
     assert "lineitem" not in plan.lower() and "l_suppkey" not in plan  # identities and pairs are cut, and read
+
+
+def test_blocks_meet_once_in_waves_of_few_copies(spark):
+    """Also the blocks of few asked rows with those of all; and the copies of one wave do not grow with the table."""
+    for asked, held in ((10**6, 10**6), (10**7, 10**7), (100, 10**6), (5 * 10**5, 10**6), (10, 10)):
+        for once in (False, True) if asked == held else (False,):
+            for blocks, parts, steps, _ in linkage.waves(asked, held, once):
+                assert len(steps) == 1 or len(steps) * (asked + held * blocks / parts) <= 6 * held
+    rows = spark.range(100).select((F.col("id") * 3).alias("k"), (F.col("id") * 7).alias("v")).cache()
+
+    def pairs(here, there, own):
+        a, b = (np.array(x, float).ravel() for x in np.meshgrid(here["k"], there["k"]))
+        return pd.DataFrame({"a": a, "b": b, "own": own})
+
+    def met(asked, once, **how):
+        plan = linkage.waves(asked.count(), 100, once, **how)
+        return len(plan), [tuple(r) for w in plan for r in linkage.meeting_blocks(asked, rows, "k", pairs, "a long, b long, own boolean", w).collect()]
+
+    for block in (10, 12):  # parts: even and odd
+        waves, once = met(rows, True, block=block, copies=2)
+        assert waves > 4
+        both = sorted(once + [(b, a, own) for a, b, own in once if not own])
+        assert [x[:2] for x in both] == [(a, b) for a in range(0, 300, 3) for b in range(0, 300, 3)]
+        waves, every = met(rows.where("k % 2 = 0"), False, block=block, copies=3)
+        assert waves > 2 and sorted(x[:2] for x in every) == [(a, b) for a in range(0, 300, 6) for b in range(0, 300, 3)]
+
+
+def test_a_cut_leaves_no_shuffle_files_and_can_be_forgotten(spark):
+    import time
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: str(files.getAllFiles().mkString(" ")).count("/shuffle_")
+    before, setting = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    made = similarity.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and made.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    similarity.forget(None, made)
+    with pytest.raises(Exception, match="(?i)exist|not.found"):
+        made.collect()
+
+
+def test_rounds_keep_no_clusters_of_earlier_ones(spark):
+    """What linkage leaves in the checkpoint folder are labels, not vectors of every round."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((120, 6)) + 2
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    similarity.cut(spark.range(1))
+    folder = str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert linkage.linked(table, "id", "v", 0.5, floor=0.5, bounded=10).select("cluster").distinct().count() >= 1
+    wide = [c for c in set(os.listdir(folder)) - before if "sum" in spark.read.parquet(f"{folder}/{c}").columns]
+    assert len(wide) <= 2
